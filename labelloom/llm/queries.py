@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _name in ("leaks", "packing", "spans"):
+for _name in ("leaks", "lookalikes", "packing", "spans"):
     _m = importlib.import_module(f"labelloom.llm.{_name}")
     QUERIES |= _m.QUERIES
     ORACLE |= getattr(_m, "ORACLE", {})
