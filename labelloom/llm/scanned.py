@@ -241,12 +241,13 @@ def booklet_lines(spans: DataFrame, scans: DataFrame) -> DataFrame:
     top = (F.col("rn") <= EDGE) & (F.col("after") > WIDE * F.col("pitch"))
     low = (F.col("n") - F.col("rn") < EDGE) & (F.col("before") > WIDE * F.col("pitch"))
     first, last = F.col("rn") <= EDGE, F.col("n") - F.col("rn") < EDGE
-    s = s.withColumn("edge", F.coalesce((F.max(top).over(near) & first) | (F.max(low).over(past) & last), F.lit(False)))
-    # a height where most lines of the booklet stand apart is a margin; elsewhere a gap is a lost line
+    s = s.withColumn("edge", F.coalesce(F.max(top).over(near) & first, F.lit(False))).withColumn("foot", F.coalesce(F.max(low).over(past) & last, F.lit(False)))
+    # a height near the top where most lines of the booklet stand apart is a margin; elsewhere a
+    # gap is a lost line. Feet move with the length of the page and go by the gap.
     s = cut(s.withColumn("band", F.floor(F.col("y") / 10)))
     bands = s.groupBy("scan_id", "band").agg(F.avg(F.col("edge").cast("int")).alias("share"), F.count("*").alias("k"))
     s = s.join(bands, ["scan_id", "band"])
-    edge = (F.col("edge") & (F.col("share") >= 0.4)) | ((first | last) & (F.col("k") >= 3) & (F.col("share") >= 0.7))
+    edge = F.col("foot") | (F.col("edge") & (F.col("share") >= 0.4)) | ((first | last) & (F.col("k") >= 3) & (F.col("share") >= 0.7))
     zone = F.when(edge & F.col("numbered"), "page_number").when(edge, "page_header").otherwise("body")
     # blank lines count for the distances, but are no lines of text
     return s.where("text <> ''").select("span_id", "scan_id", "photo", "y", "x", "w", "text", "rn", zone.alias("zone"))
