@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _name in ("leaks", "lookalikes", "names", "packing", "scanned", "spans"):
+for _name in ("leaks", "listings", "lookalikes", "names", "packing", "scanned", "spans"):
     _m = importlib.import_module(f"labelloom.llm.{_name}")
     QUERIES |= _m.QUERIES
     ORACLE |= getattr(_m, "ORACLE", {})
