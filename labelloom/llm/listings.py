@@ -265,7 +265,7 @@ def attributes(listings: DataFrame) -> DataFrame:
     # a sure name counts more than one from a title
     cores = parsed.where("core is not null").groupBy("core").agg(F.sum(F.when(F.col("sure"), 5).otherwise(1)).alias("n"))
     cores = cut(cores.select(F.lit("").alias("scope"), F.col("core").alias("w"), "n"))
-    up = roots(segment_join(cores, cores), cores).select(F.col("w").alias("core"), F.col("root").alias("brand"))
+    up = roots(segment_join(cores, cores, guard=True), cores).select(F.col("w").alias("core"), F.col("root").alias("brand"))
     return parsed.join(up, "core", "left").drop("core", "sure")
 
 
