@@ -101,14 +101,18 @@ def _composed(text: str) -> str:
 
 
 def line_script(text: str, lang: str | None) -> str:
-    if lang in LANGUAGES:
-        return LANGUAGES[lang]
+    """The language's script, unless the line's unmistakable letters are all of others."""
+    named = LANGUAGES.get(lang)
+    if named and (text.isascii() or named != "LATIN"):
+        return named
     seen: dict[str, int] = {}
     for c in text:
         s = _script(c)
         if s and not any(c in TO[k] for k in ("LATIN", "CYRILLIC", "GREEK") if k != s):
             seen[s] = seen.get(s, 0) + 1
-    return max(seen, key=lambda k: (seen[k], k == "LATIN")) if seen else "LATIN"
+    if named in seen or not seen:
+        return named or "LATIN"
+    return max(seen, key=lambda k: (seen[k], k == "LATIN"))
 
 
 class Trie:

@@ -87,7 +87,8 @@ def compact_windows(h: np.ndarray, t: int, valid: np.ndarray) -> tuple[np.ndarra
 
     ``valid[i]`` says that the stretch of t tokens from i is inside one text. A node covers t
     tokens exactly if it is the minimum of some such stretch, so the nodes are the distinct
-    sliding minima, and a run of stretches with one minimum gives the node's interval.
+    sliding minima, and a run of stretches with one minimum gives the part of the node's
+    interval that stretches of t tokens around the centre reach.
     """
     n = len(h)
     if n < t or not valid.any():
