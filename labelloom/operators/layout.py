@@ -10,10 +10,12 @@ their place; ties are broken by x, then span_id.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelloom.operators.paged import by_group
+
 PAGE = ["scan_id", "photo"]
 
 
@@ -23,70 +25,67 @@ def boxes(spans: DataFrame) -> DataFrame:
     return spans.select("scan_id", F.coalesce("photo", F.lit(0)).alias("photo"), "span_id", "text", *(zero(c) for c in ("x", "y", "w", "h")), "confidence", "angle")
 
 
-def rows_of(pdf: pd.DataFrame) -> list[list[int]]:
-    """Rows of a page: spans in order of y join the first row whose running mean centre is within
-    0.6 of the upper median height; rows by centre, spans in a row by x."""
-    order = pdf.sort_values(["y", "x", "span_id"], kind="stable").index
-    heights = sorted(pdf["h"])
-    tol = (heights[len(heights) // 2] or 1.0) * 0.6
-    centre = pdf["y"] + pdf["h"] / 2
-    rows: list[list] = []
+def rows_of(x: list[float], y: list[float], h: list[float]) -> list[list[int]]:
+    """Rows of a page whose spans come in order of y: a span joins the first row whose running mean
+    centre is within 0.6 of the upper median height; rows by centre, spans in a row by x."""
+    tol = (sorted(h)[len(h) // 2] or 1.0) * 0.6
+    rows: list[list[int]] = []
     sums: list[float] = []
-    for i in order:
+    for i in range(len(y)):
+        c = y[i] + h[i] / 2
         for k, row in enumerate(rows):
-            if abs(centre[i] - sums[k] / len(row)) <= tol:
+            if abs(c - sums[k] / len(row)) <= tol:
                 row.append(i)
-                sums[k] += centre[i]
+                sums[k] += c
                 break
         else:
             rows.append([i])
-            sums.append(centre[i])
+            sums.append(c)
     by = sorted(range(len(rows)), key=lambda k: sums[k] / len(rows[k]))
-    return [sorted(rows[k], key=lambda i: (pdf["x"][i], pdf["span_id"][i])) for k in by]
+    return [sorted(rows[k], key=lambda i: x[i]) for k in by]
+
+
+def _cols(g: pa.RecordBatch, *names: str) -> list[list]:
+    return [g.column(n).to_pylist() for n in names]
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.reset_index(drop=True)
-    out = [(r, p, i) for r, row in enumerate(rows_of(pdf)) for p, i in enumerate(row)]
-    res = pdf.loc[[i for *_, i in out], ["scan_id", "photo", "span_id"]].copy()
-    res["row_no"], res["col_no"] = [r for r, *_ in out], [p for _, p, _ in out]
-    res["pos"] = range(len(out))
-    return res
+def _ordered(g: pa.RecordBatch) -> list[tuple]:
+    scan, photo, ids, x, y, h = _cols(g, "scan_id", "photo", "span_id", "x", "y", "h")
+    out = []
+    for r, row in enumerate(rows_of(x, y, h)):
+        out += [(scan[i], photo[i], ids[i], r, p, len(out) + p) for p, i in enumerate(row)]
+    return out
 
 
 def reading_order(spans: DataFrame) -> DataFrame:
     """(scan_id, photo, span_id, row_no, col_no, pos): the order a person reads a page in."""
-    cols = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h")
-    return cols.groupBy(*PAGE).applyInPandas(_ordered, "scan_id string, photo int, span_id long, row_no int, col_no int, pos int")
+    cols = boxes(spans).select(*PAGE, "span_id", "x", "y", "h")
+    return by_group(cols, PAGE, ["y", "x", "span_id"], _ordered, "scan_id string, photo int, span_id long, row_no int, col_no int, pos int")
 
 
-def _lines(pdf: pd.DataFrame) -> pd.DataFrame:
+def _lines(g: pa.RecordBatch) -> list[tuple]:
     """Greedy lines: neighbours of a row join while the gap is at most 1.5 heights; a label
     that ends in a colon also takes the value to its right, up to 14 median heights away."""
-    pdf = pdf.reset_index(drop=True)
-    heights = sorted(pdf["h"])
-    median = heights[len(heights) // 2] or 1.0
+    scan, photo, ids, text, x, y, w, h = _cols(g, "scan_id", "photo", "span_id", "text", "x", "y", "w", "h")
+    median = sorted(h)[len(h) // 2] or 1.0
     out, line = [], 0
-    for row in rows_of(pdf):
+    for row in rows_of(x, y, h):
         last = None
         for i in row:
             if last is not None:
-                gap = pdf["x"][i] - (pdf["x"][last] + pdf["w"][last])
-                label = str(pdf["text"][last] or "").rstrip().endswith(":")
-                if gap > (14 * median if label else 1.5 * median):
+                label = (text[last] or "").rstrip().endswith(":")
+                if x[i] - (x[last] + w[last]) > (14 * median if label else 1.5 * median):
                     line += 1
-            out.append((line, i))
+            out.append((scan[i], photo[i], ids[i], line))
             last = i
         line += 1
-    res = pdf.loc[[i for _, i in out], ["scan_id", "photo", "span_id"]].copy()
-    res["line_no"] = [k for k, _ in out]
-    return res
+    return out
 
 
 def line_groups(spans: DataFrame) -> DataFrame:
     """(scan_id, photo, span_id, line_no)."""
     cols = boxes(spans).select(*PAGE, "span_id", "text", "x", "y", "w", "h")
-    return cols.groupBy(*PAGE).applyInPandas(_lines, "scan_id string, photo int, span_id long, line_no int")
+    return by_group(cols, PAGE, ["y", "x", "span_id"], _lines, "scan_id string, photo int, span_id long, line_no int")
 
 
 def line_boxes(spans: DataFrame, groups: DataFrame) -> DataFrame:
@@ -167,29 +166,27 @@ def page_orientation(spans: DataFrame) -> DataFrame:
 
 
 def _suppressed(limit: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "span_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    def run(g: pa.RecordBatch) -> list[tuple]:
+        scan, photo, ids, x, y, w, h = _cols(g, "scan_id", "photo", "span_id", "x", "y", "w", "h")
         kept: list[int] = []
-        x, y, w, h = (pdf[c].to_numpy() for c in "xywh")
-        for i in range(len(pdf)):
+        for i in range(len(ids)):
             for k in kept:
                 iw = min(x[i] + w[i], x[k] + w[k]) - max(x[i], x[k])
                 ih = min(y[i] + h[i], y[k] + h[k]) - max(y[i], y[k])
-                inter = max(0.0, iw) * max(0.0, ih)
-                total = w[i] * h[i] + w[k] * h[k] - inter
-                if total > 0 and inter / total >= limit:
+                inter = iw * ih if iw > 0 and ih > 0 else 0.0
+                if inter and inter / (w[i] * h[i] + w[k] * h[k] - inter) >= limit:
                     break
             else:
                 kept.append(i)
-        return pdf.loc[kept, ["scan_id", "photo", "span_id"]]
+        return [(scan[i], photo[i], ids[i]) for i in kept]
 
     return run
 
 
 def overlap_suppressed(spans: DataFrame, limit: float = 0.5) -> DataFrame:
     """(scan_id, photo, span_id) of spans kept when overlapping ones yield to the surest."""
-    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
-    return s.groupBy(*PAGE).applyInPandas(_suppressed(limit), "scan_id string, photo int, span_id long")
+    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h", (-F.coalesce("confidence", F.lit(0.0))).alias("doubt"))
+    return by_group(s, PAGE, ["doubt", "span_id"], _suppressed(limit), "scan_id string, photo int, span_id long")
 
 
 def top_tokens(spans: DataFrame, token: str, share: float = 0.25) -> DataFrame:
