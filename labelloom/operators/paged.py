@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -54,4 +55,7 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], work: Callable[[p
         cols = list(zip(*rows)) if rows else [[]] * len(arrow)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    # Partitioned by a hash of the keys, not by the keys: a repartition by columns that a join below
+    # already provides would be left out, and the join may then be re-planned at run time to
+    # another partitioning, as nothing above it asks for one.
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

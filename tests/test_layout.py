@@ -47,3 +47,15 @@ def test_best_reading(spark):
     df = spark.createDataFrame([("k", "a", 0.9, 2, False), ("k", "b", 0.9, 1, False), ("k", "c", 1.0, 0, True), ("k", None, 1.0, 0, False)], "k string, v string, c double, photo int, vlm boolean")
     r = packages.best_readings(df, ["k"], "v", "c", ["photo"], df.vlm).collect()
     assert [x.v for x in r] == ["b"]
+
+
+def test_groups_stay_whole_above_a_join(spark):
+    from pyspark.sql import functions as F
+
+    from labelloom.operators.paged import by_group
+
+    a = spark.range(20_000).select((F.col("id") % 500).alias("k"), "id")
+    small = spark.range(500).select(F.col("id").alias("k"), F.lit(1).alias("one"))
+    joined = a.join(small.hint("merge"), "k")
+    rows = by_group(joined, ["k"], ["id"], lambda g: [(g.column("k")[0].as_py(), g.num_rows, g.column("id").to_pylist() == sorted(g.column("id").to_pylist()))], "k long, n long, ok boolean").collect()
+    assert len(rows) == 500 and all(r.n == 40 and r.ok for r in rows)
