@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.llm.lookalikes import canonical_text, last_rows
+from labelloom.operators.paged import by_group
 from labelloom.session import cut, table
 
 LEXICON = 60_000
@@ -334,40 +335,39 @@ def boundaries(lines: list[tuple[float, float, str]]) -> list[bool]:
 
 
 def _paragraphs(counts: list[tuple[str, int]], total: int):
-    def run(pdf):
-        import pandas as pd
-
-        lex = Lexicon(counts, total)
-        pdf = pdf.sort_values(["y", "x", "span_id"], kind="stable")
-        rows = list(zip(pdf["x"], pdf["w"], pdf["text"]))
-        begins, out = boundaries(rows), []
+    made: list[Lexicon] = []
+
+    def run(g: pa.RecordBatch) -> list[tuple]:
+        if not made:
+            made.append(Lexicon(counts, total))
+        lex = made[0]
+        scan, photo, x, w, texts, heads, tails = (g.column(c).to_pylist() for c in ("scan_id", "photo", "x", "w", "text", "next_head", "prev_tail"))
+        begins, out = boundaries(list(zip(x, w, texts))), []
         carry, text = "", ""
-        for i, (_, _, t) in enumerate(rows):
+        for i, t in enumerate(texts):
             tokens = t.split()
-            nxt = rows[i + 1][2].split()[0] if i + 1 < len(rows) else (pdf["next_head"].iloc[0] or "").split()[:1]
-            nxt = nxt if isinstance(nxt, str) else (nxt[0] if nxt else "")
-            kind, joined, _, _ = line_end(tokens[-1], nxt, lex)
-            skip = bool(carry) or (i == 0 and bool(pdf["prev_tail"].iloc[0]) and bool(line_end(pdf["prev_tail"].iloc[0].split()[-1], tokens[0], lex)[0]))
-            words, _ = decode(tokens, lex, skip, bool(kind))
+            following = texts[i + 1] if i + 1 < len(texts) else heads[0] or ""
+            kind, joined, _, _ = line_end(tokens[-1], following.split()[0] if following else "", lex)
+            cut_before = i == 0 and bool(tails[0]) and bool(line_end(tails[0].split()[-1], tokens[0], lex)[0])
+            words, _ = decode(tokens, lex, bool(carry) or cut_before, bool(kind))
             if carry:
                 rest = pieces(tokens[0])
                 words[0] = carry + "".join(rest[1][1:]) + rest[2]
-            elif skip:
+            elif cut_before:
                 words = words[1:]  # its word was finished on the page before
             carry = ""
             if kind:
-                head = pieces(words[-1].rstrip(BREAKS))
+                head = pieces(words[-1].rstrip(BREAKS)) if words else ("", [""], "")
                 carry = head[0] + "".join(head[1][:-1]) + joined
                 words = words[:-1]
-                if i + 1 == len(rows):
+                if i + 1 == len(texts):
                     words.append(carry)
             if begins[i] and text:
                 out.append(text)
                 text = ""
             text = f"{text} {' '.join(words)}".strip()
         out.append(text)
-        k = len(out)
-        return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]] * k, "photo": [int(pdf["photo"].iloc[0])] * k, "pos": range(k), "continues": [i == 0 and not begins[0] for i in range(k)], "text": out})
+        return [(scan[0], photo[0], k, k == 0 and not begins[0], t) for k, t in enumerate(out)]
 
     return run
 
@@ -384,7 +384,7 @@ def paragraphs(spans: DataFrame, scans: DataFrame) -> DataFrame:
     heads = ends.select("scan_id", (F.col("photo") - 1).alias("photo"), F.col("head").alias("next_head"))
     tails = ends.select("scan_id", (F.col("photo") + 1).alias("photo"), F.col("tail").alias("prev_tail"))
     rows = body.join(heads, ["scan_id", "photo"], "left").join(tails, ["scan_id", "photo"], "left")
-    pieces_ = rows.groupBy("scan_id", "photo").applyInPandas(_paragraphs(*counts), "scan_id string, photo int, pos int, continues boolean, text string")
+    pieces_ = by_group(rows, ["scan_id", "photo"], ["y", "x", "span_id"], _paragraphs(*counts), "scan_id string, photo int, pos int, continues boolean, text string")
     w = Window.partitionBy("scan_id").orderBy("photo", "pos")
     key = F.when(~F.col("continues"), F.struct("photo", "pos"))
     p = pieces_.withColumn("k", F.coalesce(F.last(key, True).over(w), F.struct("photo", "pos")))
