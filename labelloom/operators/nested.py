@@ -168,3 +168,31 @@ def _typed(tag: str):
 
 
 QUERIES = {"p4_found": p4_found} | {f"p4_{t}s": _typed(t) for t in [*SCHEMAS, "note", "package_photo"] if t != "ocr_pass"} | {"p4_ocr_passes": _typed("ocr_pass")}
+
+
+def _elements_sql(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'NULL' THEN []::JSON[] ELSE [{x}] END"
+
+
+def _children_sql(source: str, key: str, x: str, child: str, parent: str) -> str:
+    inner = f"SELECT scan_id, {parent} parent_pos, {_elements_sql(x)} e FROM {source} WHERE {x} IS NOT NULL"
+    return f"SELECT scan_id, '{child}' child, parent_pos, generate_subscripts(e, 1) - 1 pos, unnest(e) v FROM ({inner})"
+
+
+_LIVE = "WHERE json_type(v) <> 'NULL'"
+
+ORACLE = {
+    "p4_found": f"""WITH l AS (SELECT scan_id, payload FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY ingested_at DESC) rn FROM scans WHERE scan_id IS NOT NULL) WHERE rn = 1),
+ p AS (SELECT scan_id, CASE WHEN json_valid(payload) THEN CASE WHEN json_type(payload) = 'VARCHAR' THEN CASE WHEN json_valid(payload::JSON ->> '$') THEN (payload::JSON ->> '$')::JSON END ELSE payload::JSON END END j FROM l),
+ o AS (SELECT * FROM p WHERE json_type(j) = 'OBJECT'),
+ d AS (SELECT * FROM ({_children_sql("o", "scan_id", "(j -> '$.declarations')", "declaration", "-1")}) {_LIVE}),
+ h AS (SELECT * FROM ({_children_sql("o", "scan_id", "(j -> '$.ocr_stats.photos')", "ocr_photo", "-1")}) {_LIVE}),
+ a AS (SELECT scan_id, child, parent_pos, pos FROM d UNION ALL SELECT scan_id, child, parent_pos, pos FROM h
+  UNION ALL SELECT scan_id, child, parent_pos, pos FROM ({_children_sql("o", "scan_id", "(j -> '$.findings')", "finding", "-1")}) {_LIVE}
+  UNION ALL SELECT scan_id, child, parent_pos, pos FROM ({_children_sql("o", "scan_id", "(j -> '$.spans')", "span", "-1")}) {_LIVE}
+  UNION ALL SELECT scan_id, child, parent_pos, pos FROM ({_children_sql("o", "scan_id", "(j -> '$.package_photos')", "package_photo", "-1")}) {_LIVE}
+  UNION ALL SELECT scan_id, 'glyph', pos, 0 FROM d WHERE json_type(v -> '$.glyph') <> 'NULL'
+  UNION ALL SELECT scan_id, child, parent_pos, pos FROM ({_children_sql("d", "scan_id", "(v -> '$.notes')", "note", "pos")}) {_LIVE}
+  UNION ALL SELECT scan_id, child, parent_pos, pos FROM ({_children_sql("h", "scan_id", "(v -> '$.passes')", "ocr_pass", "pos")}) {_LIVE})
+SELECT scan_id, child, parent_pos, pos FROM a"""
+}

@@ -464,3 +464,45 @@ def b_crops(spark, d):
 
     findings = nested.typed_table(nested.flatten_payloads(table(spark, d, "scans")), "finding")
     return sinks.crops(findings, "evidence_bbox", F.lit(1200.0), F.lit(1600.0))
+
+
+@query(f"""WITH s AS (SELECT span_id, scan_id, {_ZERO} FROM {LAST_SPANS} WHERE coalesce(w,0)<=2000)
+SELECT a.span_id, floor(min(CASE WHEN b.y+b.h<=a.y THEN a.y-b.y-b.h END)*1000+0.5)/1000 AS gap_top, floor(min(CASE WHEN b.y>=a.y+a.h THEN b.y-a.y-a.h END)*1000+0.5)/1000 AS gap_bottom
+FROM s a LEFT JOIN s b ON a.scan_id=b.scan_id AND a.photo=b.photo AND a.span_id<>b.span_id AND b.x<a.x+a.w AND b.x+b.w>a.x GROUP BY 1""")
+def d_vertical_gaps(spark, d):
+    from labelloom.operators import recovery
+
+    r = lambda c: (F.floor(F.col(c) * 1000 + 0.5) / 1000).alias(c)
+    return recovery.vertical_gaps(spans_(spark, d)).select("span_id", r("gap_top"), r("gap_bottom"))
+
+
+@query(f"""SELECT span_id FROM {LAST_SPANS} WHERE regexp_matches(lower(trim(text)), '^[^a-z0-9]*(m[.]?r[.]?p[.]?|net (qty|quantity|wt|weight|contents?)|(mfg|mfd|pkd)[.]?( date| by)?|(manufactured|packed|marketed) (by|on)|consumer care|customer care|best before|batch no[.]?|country of origin|unit (sale )?price)[^a-z0-9]*$')""")
+def c_bare_labels(spark, d):
+    from labelloom.operators import recovery
+
+    return spans_(spark, d).where(recovery.is_bare_label(F.col("text"))).select("span_id")
+
+
+@query(f"""WITH k AS (SELECT scan_id, common_name v FROM (SELECT scan_id, common_name, row_number() OVER (PARTITION BY scan_id ORDER BY key_id) rn FROM product_keys WHERE scan_id IS NOT NULL AND common_name IS NOT NULL) WHERE rn=1),
+ f AS (SELECT scan_id, product_name v FROM {LAST_SCANS} WHERE product_name IS NOT NULL), t AS (SELECT scan_id, string_agg(text, ' ' ORDER BY span_id) t FROM {LAST_SPANS} WHERE text IS NOT NULL GROUP BY 1)
+SELECT scan_id, v AS value, 0.9::DOUBLE AS confidence, 'first' AS source FROM f UNION ALL
+SELECT scan_id, v, CASE WHEN a THEN 0.7::DOUBLE ELSE 0.45::DOUBLE END, CASE WHEN a THEN 'second+first' ELSE 'second' END FROM (SELECT k.scan_id, v, coalesce(contains(regexp_replace(lower(coalesce(t,'')), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(v), '[^a-z0-9]+', '', 'g')), false) AND regexp_replace(lower(v), '[^a-z0-9]+', '', 'g') <> '' a
+ FROM k LEFT JOIN t USING (scan_id) WHERE k.scan_id NOT IN (SELECT scan_id FROM f))""")
+def e_completed_names(spark, d):
+    from labelloom.operators import recovery
+
+    found = scans_(spark, d).select("scan_id", F.col("product_name").alias("value"), F.lit(0.9).alias("confidence"))
+    keys = table(spark, d, "product_keys").where("scan_id is not null and common_name is not null")
+    second = keys.groupBy("scan_id").agg(F.min_by("common_name", "key_id").alias("value"))
+    # the text of an item whose name is missing; items with one need no text
+    need = second.join(found.where("value is not null"), "scan_id", "left_anti").select("scan_id")
+    seen = spans_(spark, d).where("text is not null").join(need, "scan_id", "left_semi").groupBy("scan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return recovery.completed(found, second, ["scan_id"], seen)
+
+
+@query()
+def s_synthetic_lines(spark, d):
+    """Lines of as many synthetic labels as there are scans (generated; no table to compare with)."""
+    from labelloom.operators import synthetic
+
+    return synthetic.manifests(synthetic.specifications(spark, scans_(spark, d).count()))
