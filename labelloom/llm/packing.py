@@ -15,7 +15,7 @@ rank finds its container in the plan by binary search. The driver holds the hist
 
 Defined results: a document with more tokens than the capacity is split into full pieces and
 a rest; null or empty texts have no tokens and come out with container null; repeated rows of
-one doc_id are one item (the longest); an empty table gives an empty table.
+one doc_id are one item (the longest), rows without one none; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def _counter(vocabulary):
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) with a public tokenizer; the vocabulary file is read by the driver."""
     data = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a fixed file of about 1 MB
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_counter(data), "doc_id long, n_tokens long")
 
 

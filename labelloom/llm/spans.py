@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelloom.session import cut, table
@@ -212,8 +212,9 @@ def _verify(span: int, q: int):
 
 
 def _stretches(span: int, q: int):
-    """All full-length stretches of which a window's centre is the minimum, as two hashes."""
-    schema = pa.schema([("v", pa.int64()), ("g", pa.int64()), ("th", pa.int64()), ("start", pa.int32())])
+    """Hashes of all full-length stretches of which a window's centre is the minimum, each with
+    the hash of the one before it in the window (0 for the first)."""
+    schema = pa.schema([("v", pa.int64()), ("g", pa.int64()), ("before", pa.int64()), ("th", pa.int64()), ("start", pa.int32())])
     reach = span - q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +229,8 @@ def _stretches(span: int, q: int):
                 if hi < lo:
                     continue
                 n = hi - lo + 1
-                for column, x in zip(cols, (np.full(n, v), h[lo - at : hi - at + 1].view(np.int64), np.full(n, th), np.arange(lo, hi + 1))):
+                g = h[lo - at : hi - at + 1].view(np.int64)
+                for column, x in zip(cols, (np.full(n, v), g, np.concatenate([[0], g[:-1]]), np.full(n, th), np.arange(lo, hi + 1))):
                     column.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(f.type.to_pandas_dtype())) for x, f in zip(cols, schema)], schema=schema)
@@ -245,14 +247,15 @@ def _bitmap_filter(bitmap: np.ndarray):
     return run
 
 
-def shared_spans(docs: DataFrame, span: int = SPAN, q: int = Q, pair_limit: int = PAIR_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(members, spans) of documents (doc_id, text).
+def shared_spans(docs: DataFrame, span: int = SPAN, q: int = Q, pair_limit: int = PAIR_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, spans, cover) of documents (doc_id, text).
 
     members: (doc_id, th, n) - the class of equal texts of each document long enough;
-    spans: (th_a, th_b, start_a, start_b, n), th_a < th_b - verbatim stretches between classes.
-    Together the spans cover every shared stretch of at least ``span`` characters.
+    spans: (th_a, th_b, start_a, start_b, n), th_a < th_b - verbatim stretches, one or more for
+    every two classes that share one;
+    cover: (th, s, n) - stretches that together cover all that is shared of each class.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") >= span)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= span))
     docs = docs.withColumn("th", F.xxhash64("text"))
     members = docs.select("doc_id", "th", F.length("text").alias("n")).distinct()
     found = docs.mapInArrow(_windows(span, q), "v long, th long, doc_id long, c int, l int, r int")
@@ -276,17 +279,26 @@ def shared_spans(docs: DataFrame, span: int = SPAN, q: int = Q, pair_limit: int
     pairs = side("a").join(side("b"), "v").where("th_a < th_b").drop("v")
     schema = "th_a long, th_b long, start_a int, start_b int, n int"
     spans = pairs.mapInArrow(_verify(span, q), schema)
-    grams = many.mapInArrow(_stretches(span, q), "v long, g long, th long, start int")
-    again = grams.groupBy("v", "g").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("v", "g")
-    grams = cut(grams.join(again, ["v", "g"]))
-    side = lambda x: grams.select("v", "g", *(F.col(k).alias(f"{k}_{x}") for k in ("th", "start")))
+    grams = many.mapInArrow(_stretches(span, q), "v long, g long, before long, th long, start int")
+    same = grams.groupBy("v", "g").agg(
+        F.min("th").alias("lo"), F.max("th").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("th").cast("decimal(20,0)")).alias("s"), F.min("before").alias("b0"), F.max("before").alias("b1")
+    )
+    same = cut(same.where("lo < hi"))
+    grams = cut(grams.join(same.select("v", "g"), ["v", "g"]))
+    # where the stretch before has the same texts, it gives the same pairs: one stretch a run is enough
+    ahead = same.select("v", F.col("g").alias("b0"), F.col("k").alias("k0"), F.col("s").alias("s0"))
+    first = same.join(ahead, ["v", "b0"], "left").where("not (b0 = b1 and k = k0 and s = s0) or k0 is null").select("v", "g")
+    heads = cut(grams.join(first, ["v", "g"]))
+    side = lambda x: heads.select("v", "g", *(F.col(k).alias(f"{k}_{x}") for k in ("th", "start")))
     split = side("a").join(side("b"), ["v", "g"]).where("th_a < th_b").select("th_a", "th_b", "start_a", "start_b", F.lit(span).alias("n"))
-    return members, spans.unionByName(split)
+    cover = spans.select(F.col("th_a").alias("th"), F.col("start_a").alias("s"), "n").unionByName(spans.select("th_b", "start_b", "n").toDF("th", "s", "n"))
+    cover = cover.unionByName(grams.select("th", F.col("start").alias("s"), F.lit(span).alias("n")))
+    return members, spans.unionByName(split), cover
 
 
 def shared_pairs(docs: DataFrame, span: int = SPAN, q: int = Q, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """(doc_id_a, doc_id_b): documents sharing a stretch of at least ``span`` characters."""
-    members, spans = shared_spans(docs, span, q, pair_limit)
+    members, spans, _ = shared_spans(docs, span, q, pair_limit)
     classes = spans.select("th_a", "th_b").distinct()
     a = members.select(F.col("th").alias("th_a"), F.col("doc_id").alias("a"))
     b = members.select(F.col("th").alias("th_b"), F.col("doc_id").alias("b"))
@@ -304,12 +316,8 @@ def shared_fraction(docs: DataFrame, span: int = SPAN, q: int = Q, pair_limit: i
     n_shared counts the characters covered by stretches of at least ``span`` characters that
     also stand in another document; a document with an exact copy is shared in full.
     """
-    members, spans = shared_spans(docs, span, q, pair_limit)
-    spans = cut(spans)
-    ends = spans.select(F.col("th_a").alias("th"), F.col("start_a").alias("s"), "n").unionByName(spans.select("th_b", "start_b", "n").toDF("th", "s", "n"))
-    ends = ends.select("th", "s", (F.col("s") + F.col("n")).alias("e")).groupBy("th", "s").agg(F.max("e").alias("e"))
-    from pyspark.sql import Window
-
+    members, _, cover = shared_spans(docs, span, q, pair_limit)
+    ends = cover.select("th", "s", (F.col("s") + F.col("n")).alias("e")).groupBy("th", "s").agg(F.max("e").alias("e"))
     w = Window.partitionBy("th").orderBy("s", "e")
     before = F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = F.greatest(F.lit(0), F.col("e") - F.greatest("s", before))

@@ -34,7 +34,7 @@ def docs(spark, *rows):
 
 def test_documents(spark):
     long_ = (7, LONG + "x" * 100_000)
-    rows = [(1, None), (2, ""), (3, "short"), (None, "short"), (4, "a b " * 200), (4, "a b " * 200), long_]
+    rows = [(1, None), (2, ""), (3, "short"), (None, "short"), (None, "a b " * 200), (4, "a b " * 200), (4, "a b " * 200), long_]
     items = frame(spark, [(1, "one two") + EXTRA, (2, None) + EXTRA, (None, "x") + EXTRA, (3, " ".join(f"word{i}" for i in range(30))) + EXTRA], ITEMS)
     for d in (docs(spark, *rows), docs(spark)):
         assert spans.shared_pairs(d).count() == 0

@@ -38,11 +38,20 @@ def test_shared_pairs_equal_brute_force(spark, limit):
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_shared_fraction_counts_covered_characters(spark):
+def test_one_passage_in_very_many_texts(spark):
+    rng = random.Random(9)
+    long_, short = text(rng, 90), text(rng, 35)
+    rows = [(i, text(rng, 30) + (long_ if i % 4 == 0 else short) + text(rng, 30)) for i in range(240)]
+    got = spans.shared_pairs(spark.createDataFrame(rows, "doc_id long, text string"), span=40, q=20, pair_limit=8)
+    assert {tuple(r) for r in got.collect()} == brute_pairs(rows, 40)
+
+
+@pytest.mark.parametrize("limit", [1, 48])
+def test_shared_fraction_counts_covered_characters(spark, limit):
     rng = random.Random(5)
     s = text(rng, 100)
     rows = [(1, "x" * 30 + s + "y" * 70), (2, s), (3, "z" * 100), (4, "z" * 100), (5, text(rng, 200))]
-    r = {x.doc_id: (x.n_chars, x.n_shared, x.n_copies) for x in spans.shared_fraction(spark.createDataFrame(rows, "doc_id long, text string"), span=40, q=20).collect()}
+    r = {x.doc_id: (x.n_chars, x.n_shared, x.n_copies) for x in spans.shared_fraction(spark.createDataFrame(rows, "doc_id long, text string"), span=40, q=20, pair_limit=limit).collect()}
     assert r == {1: (200, 100, 0), 2: (100, 100, 0), 3: (100, 100, 1), 4: (100, 100, 1)}
 
 
