@@ -367,11 +367,28 @@ def _paragraphs(counts: list[tuple[str, int]], total: int):
                 text = ""
             text = f"{text} {' '.join(words)}".strip()
         out.append(text)
-        return [(scan[0], photo[0], k, k == 0 and not begins[0], t) for k, t in enumerate(out)]
+        return [(scan[0], photo[0], k, k == 0 and not begins[0] and tails[0] is not None, t) for k, t in enumerate(out)]
 
     return run
 
 
+def _opened(pages: DataFrame) -> DataFrame:
+    """(scan_id, photo, k): the paragraph that is open at the end of each page.
+
+    pages: (scan_id, photo, k), k the last one that begins on the page or null. A page without
+    one hands on what is open before it; such runs are followed by pointer jumping, so that no
+    booklet is sorted as a whole.
+    """
+    t = cut(pages.withColumn("back", F.col("photo") - 1))
+    while True:
+        idle, done = t.where("k is null"), t.where("k is not null")
+        other = t.select("scan_id", F.col("photo").alias("back"), F.col("k").alias("k2"), F.col("back").alias("back2"))
+        moved = cut(idle.join(other, ["scan_id", "back"]).select("scan_id", "photo", F.col("k2").alias("k"), F.col("back2").alias("back")))
+        if moved.isEmpty():
+            return done.select("scan_id", "photo", "k")
+        t = cut(done.unionByName(moved))  # a page without any before it stays without
+
+
 def paragraphs(spans: DataFrame, scans: DataFrame) -> DataFrame:
     """(scan_id, photo, pos, text): readable paragraphs, each on the page where it begins.
 
@@ -385,9 +402,11 @@ def paragraphs(spans: DataFrame, scans: DataFrame) -> DataFrame:
     tails = ends.select("scan_id", (F.col("photo") + 1).alias("photo"), F.col("tail").alias("prev_tail"))
     rows = body.join(heads, ["scan_id", "photo"], "left").join(tails, ["scan_id", "photo"], "left")
     pieces_ = by_group(rows, ["scan_id", "photo"], ["y", "x", "span_id"], _paragraphs(*counts), "scan_id string, photo int, pos int, continues boolean, text string")
-    w = Window.partitionBy("scan_id").orderBy("photo", "pos")
-    key = F.when(~F.col("continues"), F.struct("photo", "pos"))
-    p = pieces_.withColumn("k", F.coalesce(F.last(key, True).over(w), F.struct("photo", "pos")))
+    pieces_ = cut(pieces_)
+    key = F.struct("photo", "pos")
+    opened = _opened(pieces_.groupBy("scan_id", "photo").agg(F.max(F.when(~F.col("continues"), key)).alias("k")))
+    before = opened.select("scan_id", (F.col("photo") + 1).alias("photo"), F.col("k").alias("k_before"))
+    p = pieces_.join(before, ["scan_id", "photo"], "left").withColumn("k", F.coalesce(F.when(F.col("continues"), F.col("k_before")), key))
     parts = F.array_sort(F.collect_list(F.struct("photo", "pos", "text")))
     p = p.groupBy("scan_id", "k").agg(parts.alias("parts"))
     return p.select("scan_id", "k.photo", "k.pos", F.concat_ws(" ", F.filter(F.transform("parts", lambda x: x["text"]), lambda t: t != "")).alias("text"))
