@@ -37,7 +37,7 @@ def test_store_round_trip(spark, tmp_path):
 
 def test_dumps(spark, tmp_path):
     d = {"source": "a.jpg", "regions": [{"text": "心 Net", "score": 0.9, "poly": [[0, 0], [10, 0], [10, 5], [0, 5]], "engine": "e", "language": "en"}, {"text": "印", "score": 0.9, "poly": [[0, 0]]}]}
-    (tmp_path / "a.paddle.json").write_text(json.dumps(d), encoding="utf-8")
+    (tmp_path / "a.dump.json").write_text(json.dumps(d), encoding="utf-8")
     r = sources.reader("dump")(spark, str(tmp_path)).collect()
     assert [(x.name, x.text, x.w, x.h, x.vertical) for x in r] == [("a", "Net", 10.0, 5.0, False)]
     with pytest.raises(ValueError):
