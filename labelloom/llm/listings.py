@@ -98,7 +98,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, values = [], []
         for text in b.column("text").to_pylist():
             for line in _lines(text):
-                for kind, r in (("brand", BRAND_LINE), ("variant", VARIANT_LINE), ("other", OTHER_GOODS)):
+                for kind, r in (("variant", VARIANT_LINE), ("other", OTHER_GOODS)):
                     if m := r.match(line):
                         kinds.append(kind)
                         values.append(" ".join(re.findall(r"[^\W_]+", m.group(1))))
@@ -256,11 +256,11 @@ def last_listings(listings: DataFrame) -> DataFrame:
 def attributes(listings: DataFrame) -> DataFrame:
     """Attributes of each listing, brands unified: listing_id, brand, goods, variant, dim, size, units, gtin."""
     rows = cut(last_listings(listings))
-    learned = rows.mapInArrow(_learn, "kind string, value string").groupBy("kind", "value").count()
-    from pyspark.sql import Window
-
-    top = learned.withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("count"), "value")))
-    words = [(r[0], r[1], r[2]) for r in top.where((F.col("kind") != "brand") & (F.col("rn") <= WORDS)).select("kind", "value", "count").collect()]
+    learned = cut(rows.mapInArrow(_learn, "kind string, value string").groupBy("kind", "value").count())
+    words = []
+    for kind in ("variant", "other", "g", "ml"):  # a distributed top-k of each
+        top = learned.where(F.col("kind") == kind).orderBy(F.desc("count"), "value").limit(WORDS)
+        words += [(r[0], r[1], r[2]) for r in top.collect()]
     parsed = cut(rows.mapInArrow(_parsed(words), SCHEMA))
     # a sure name counts more than one from a title
     cores = parsed.where("core is not null").groupBy("core").agg(F.sum(F.when(F.col("sure"), 5).otherwise(1)).alias("n"))
