@@ -42,7 +42,7 @@ WIDE = 1.4
 
 # What a scanner prints for what was there.
 CONFUSIONS = (
-    "c>e o>0 0>o i>l l>i 1>l 1>i I>l I>i !>i !>l rn>m ri>n m>rn n>ri ii>u u>ii vv>w w>vv cl>d d>cl t>f f>t b>h h>b 6>b 8>b 5>s 4>a 9>g q>g g>q e>c o>c c>o n>u u>n li>h |>l |>i 3>e 7>t 2>z l>t t>l j>i i>j y>v v>y s>5 nn>m in>m fi>h ni>m ]>l [>l"
+    "c>e o>0 0>o i>l l>i 1>l 1>i I>l I>i !>i !>l rn>m ri>n m>rn n>ri ii>u u>ii vv>w w>vv cl>d d>cl t>f f>t b>h h>b 6>b 8>b 5>s 4>a 9>g q>g g>q e>c o>c c>o n>u u>n li>h h>li |>l |>i 3>e 7>t 2>z l>t t>l j>i i>j y>v v>y s>5 nn>m in>m fi>h ni>m ]>l [>l"
 )
 _READ = [tuple(x.split(">")) for x in CONFUSIONS.split()]
 #: Cost of a first listed confusion, of further ones and of any other substitution, as log
