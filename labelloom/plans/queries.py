@@ -125,7 +125,7 @@ def c_devanagari(spark, d):
 @query()
 def c_anchor_fuzzy(spark, d):
     """Damaged labels: the best fuzzy anchor of two groups per distinct line (difflib has no SQL twin)."""
-    lines = spans_(spark, d).where("length(trim(text)) between 4 and 60").groupBy("text").agg(F.count("*").alias("n"))
+    lines = spans_(spark, d).where("text is not null").groupBy("text").agg(F.count("*").alias("n"))
     a = lines.withColumn("q", fuzzy.anchor(F.col("text"), "net_qty")).withColumn("c", fuzzy.anchor(F.col("text"), "consumer_care"))
     return a.where("q.anchor is not null or c.anchor is not null").select("text", "n", F.col("q.anchor").alias("net_qty"), F.col("q.score").alias("q_score"), F.col("c.anchor").alias("care"), F.col("c.score").alias("c_score"))
 
