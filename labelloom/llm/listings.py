@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.lookalikes import canonical_text
-from labelloom.llm.names import _LISTS, _LONG, GOODS, _split, brand_core, edits, fold, reach, roots, same_pairs, segment_join, spellings
+from labelloom.llm.names import _LISTS, _LONG, GOODS, _split, brand_core, edits, evidence, fold, reach, roots, same_pairs, segment_join, spellings
 from labelloom.session import cut, table
 
 #: Bound of each learned word list, most frequent first.
@@ -265,7 +265,9 @@ def attributes(listings: DataFrame) -> DataFrame:
     # a sure name counts more than one from a title
     cores = parsed.where("core is not null").groupBy("core").agg(F.sum(F.when(F.col("sure"), 5).otherwise(1)).alias("n"))
     cores = cut(cores.select(F.lit("").alias("scope"), F.col("core").alias("w"), "n"))
-    up = roots(segment_join(cores, cores, guard=True), cores).select(F.col("w").alias("core"), F.col("root").alias("brand"))
+    things = parsed.where("core is not null and goods is not null").groupBy(F.lit("").alias("scope"), F.col("core").alias("w"), F.col("goods").alias("thing")).agg(F.count("*").alias("n"))
+    links = evidence(cut(segment_join(cores, cores, guard=True)), things)
+    up = roots(links, cores).select(F.col("w").alias("core"), F.col("root").alias("brand"))
     return parsed.join(up, "core", "left").drop("core", "sure")
 
 
