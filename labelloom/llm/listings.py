@@ -15,8 +15,10 @@ Scale: each row is parsed where it stands; the learned word lists are partial ag
 documented bound; only narrow keys are shuffled. Components run over attribute sets, not over
 listings, so a hot product is one node.
 
-Defined results: of rows with one listing_id the last ingested counts; a listing of which brand,
-commodity or content is not found links to nothing but by identifier; null title or text
+Defined results: of rows with one listing_id the last ingested counts; a listing whose commodity
+is not in the learned list links to those with the same remaining words (title and brand, without
+order), variant, content and units; one of which brand or content is not found links to nothing
+but by identifier; null title or text
 counts as empty; price, seller and platform play no role.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm.lookalikes import canonical_text
-from labelloom.llm.names import _LISTS, _LONG, GOODS, _split, brand_core, edits, evidence, fold, reach, roots, same_pairs, segment_join, spellings
+from labelloom.llm.names import _LISTS, _LONG, GOODS, _firm_word, _split, brand_core, edits, evidence, fold, reach, roots, same_pairs, segment_join, spellings
 from labelloom.session import cut, table
 
 #: Bound of each learned word list, most frequent first.
@@ -110,19 +112,31 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
 
+def commodity(phrase: str, variants) -> str:
+    """What a line names without the longest variant in front."""
+    words = phrase.split()
+    at = max((k for k in range(1, len(words)) if " ".join(words[:k]) in variants), default=0)
+    return " ".join(words[at:])
+
+
+def _commodities(variants: set[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([commodity(v, variants) for v in b.column("value").to_pylist()], pa.string()), b.column("count")], names=["value", "count"])
+
+    return run
+
+
 class Words:
-    """What the corpus says about itself: variants, commodities and nominal contents."""
+    """What the corpus says about itself: variants, commodities ('goods', or 'other' with a variant in front) and nominal contents."""
 
     def __init__(self, rows: list[tuple[str, str, int]]) -> None:
         of = lambda kind, least: {v: n for k, v, n in rows if k == kind and n >= least and v}
         self.variants = of("variant", 1)
         goods: dict[str, int] = {}
-        for v, n in of("other", 1).items():
-            words = v.split()
-            # the longest variant in front is no part of the commodity
-            cut_ = max((k for k in range(1, len(words)) if " ".join(words[:k]) in self.variants), default=0)
-            goods[" ".join(words[cut_:])] = goods.get(" ".join(words[cut_:]), 0) + n
-        self.goods = {g: n for g, n in goods.items() if n * 200 >= max(goods.values())}
+        for g, n in [*((commodity(v, self.variants), n) for v, n in of("other", 1).items()), *of("goods", 1).items()]:
+            goods[g] = goods.get(g, 0) + n
+        self.goods = goods
         self.nominal = {dim: sorted(float(v) for v in of(dim, 3)) for dim in ("g", "ml")}
 
     def snapped(self, dim: str, v: float) -> float:
@@ -221,22 +235,32 @@ class Parser:
             if v:
                 used |= set(source[v[0] : v[0] + v[1]])
             variant = variant or found_variant
+        elif v := _find(fixed, self.known.variants):
+            used |= set(source[v[0] : v[0] + v[1]])
+            variant = variant or " ".join(fixed[v[0] : v[0] + v[1]])
         origin = [w for i, w in enumerate(words) if i not in used and self.word(w) == w and w not in self.vocabulary and w.isalpha()]
         names = re.findall(r"[^\W_]+", brand) if brand else [care] if care else origin
         core = brand_core(names, _LISTS, _LONG)[0] if names else ""
+        rest = None
+        if not at:  # no known commodity: the key is all that is left of the title, and the brand
+            own_words = lambda ws: {fold(w) for w in ws if _firm_word(w, _LISTS, _LONG) is None and fold(w)}
+            maker = own_words(re.findall(r"[^\W_]+", brand or care or ""))
+            left = own_words(x for i, x in enumerate(fixed) if source[i] not in used)
+            if left - maker and len(left | maker) > 1:
+                rest = " ".join(sorted(left | maker))
         return {
-            "core": core or None, "sure": bool(brand or care), "goods": goods, "variant": variant or "", "dim": found[0] if found else None, "size": self.known.snapped(found[0], found[1]) if found else None, "units": max(counts) if counts else 1, "gtin": gtin,
+            "core": core or None, "sure": bool(brand or care), "goods": goods, "variant": variant or "", "dim": found[0] if found else None, "size": self.known.snapped(found[0], found[1]) if found else None, "units": max(counts) if counts else 1, "gtin": gtin, "rest": rest,
         }
 
 
-SCHEMA = "listing_id long, core string, sure boolean, goods string, variant string, dim string, size double, units int, gtin string"
+SCHEMA = "listing_id long, core string, sure boolean, goods string, variant string, dim string, size double, units int, gtin string, rest string"
 
 
 def _parsed(rows: list[tuple[str, str, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(Words(rows))
-        types = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.string()]
-        names = ["core", "sure", "goods", "variant", "dim", "size", "units", "gtin"]
+        types = [pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+        names = ["core", "sure", "goods", "variant", "dim", "size", "units", "gtin", "rest"]
         for b in batches:
             out = [parser.parse(*x) for x in zip(*(b.column(c).to_pylist() for c in ("title", "text", "seller")))]
             yield pa.RecordBatch.from_arrays([b.column("listing_id"), *(pa.array([o[n] for o in out], t) for n, t in zip(names, types))], names=["listing_id", *names])
@@ -258,9 +282,13 @@ def attributes(listings: DataFrame) -> DataFrame:
     rows = cut(last_listings(listings))
     learned = cut(rows.mapInArrow(_learn, "kind string, value string").groupBy("kind", "value").count())
     words = []
-    for kind in ("variant", "other", "g", "ml"):  # a distributed top-k of each
-        top = learned.where(F.col("kind") == kind).orderBy(F.desc("count"), "value").limit(WORDS)
-        words += [(r[0], r[1], r[2]) for r in top.collect()]
+    for kind in ("variant", "goods", "g", "ml"):  # a distributed top-k of each
+        rows_of = learned.where(F.col("kind") == kind).select("value", "count")
+        if kind == "goods":  # counted without their variants before the bound is applied
+            said = learned.where((F.col("kind") == "other") & (F.col("value") != "")).select("value", "count")
+            rows_of = said.mapInArrow(_commodities({v for _, v, _ in words}), "value string, count long").groupBy("value").agg(F.sum("count").alias("count"))
+        top = rows_of.orderBy(F.desc("count"), "value").limit(WORDS)
+        words += [(kind, r[0], r[1]) for r in top.collect()]
     parsed = cut(rows.mapInArrow(_parsed(words), SCHEMA))
     # a sure name counts more than one from a title
     cores = parsed.where("core is not null").groupBy("core").agg(F.sum(F.when(F.col("sure"), 5).otherwise(1)).alias("n"))
@@ -277,7 +305,9 @@ KEYS = ["brand", "goods", "variant", "dim", "size", "units"]
 def product_groups(listings: DataFrame) -> DataFrame:
     """(listing_id, product_id): guarded connected components over reliable keys."""
     a = attributes(listings)
-    a = a.withColumn("node", F.when(F.col("brand").isNotNull() & F.col("goods").isNotNull() & F.col("size").isNotNull(), F.xxhash64(*KEYS)).otherwise(F.xxhash64(F.lit("single"), "listing_id")))
+    known = F.col("brand").isNotNull() & F.col("goods").isNotNull() & F.col("size").isNotNull()
+    exact = F.col("rest").isNotNull() & F.col("size").isNotNull()  # no known commodity
+    a = a.withColumn("node", F.when(known, F.xxhash64(*KEYS)).when(exact, F.xxhash64(F.lit("rest"), "rest", *KEYS[2:])).otherwise(F.xxhash64(F.lit("single"), "listing_id")))
     a = cut(a)
     # an identifier links attribute sets that do not contradict each other
     ids = a.where("gtin is not null").select("gtin", "node", "brand", "goods").distinct()
