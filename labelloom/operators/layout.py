@@ -101,20 +101,22 @@ def line_boxes(spans: DataFrame, groups: DataFrame) -> DataFrame:
 BAND = 40.0
 
 
-def _banded(s: DataFrame, spread: int) -> DataFrame:
-    """One row for each height band a box centre can be matched in."""
-    b = F.floor((F.col("y") + F.col("h") / 2) / BAND).cast("long")
-    return s.withColumn("band", F.explode(F.array(*(b + k for k in range(-spread, spread + 1)))) if spread else b)
+def _bands(top, bottom):
+    """One row for each height band from top to bottom."""
+    at = lambda c: F.floor(c / BAND).cast("long")
+    return F.explode(F.sequence(at(top), at(F.greatest(top, bottom))))
 
 
 def right_neighbours(spans: DataFrame, max_gap: float = 400.0, limit: int = 1) -> DataFrame:
     """(span_id, neighbour_id, gap, rank): nearest spans to the right on the same row.
 
-    Same row: the centres are at most half the first span's height apart (and one band).
+    Same row: the centres are at most half the first span's height apart. The first span stands in
+    all bands such a centre can have, the other in that of its centre.
     """
-    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h").where("h <= 80")
-    a = _banded(s, 0).toDF(*PAGE, "span_id", "x", "y", "w", "h", "band")
-    b = _banded(s, 1).toDF(*PAGE, "neighbour_id", "nx", "ny", "nw", "nh", "band")
+    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h")
+    # half a unit more than the span's own height, against rounding at its edges
+    a = s.where("h >= 0").withColumn("band", _bands(F.expr("y - 0.5"), F.expr("y + h + 0.5")))
+    b = s.withColumn("band", F.floor((F.col("y") + F.col("h") / 2) / BAND).cast("long")).toDF(*PAGE, "neighbour_id", "nx", "ny", "nw", "nh", "band")
     near = a.join(b, [*PAGE, "band"]).where("span_id <> neighbour_id and abs(y + h / 2 - ny - nh / 2) <= 0.5 * h and nx >= x + w")
     near = near.withColumn("gap", F.col("nx") - F.col("x") - F.col("w")).where(F.col("gap") <= max_gap)
     w = Window.partitionBy("span_id").orderBy("gap", "neighbour_id")
@@ -126,10 +128,9 @@ def below_neighbours(spans: DataFrame) -> DataFrame:
 
     Column: left edges within 1.5 heights or half of the narrower width shared; gap at most 1.2 heights.
     """
-    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h").where("h between 1 and 40")
-    band = lambda c: F.floor(F.col(c) / BAND).cast("long")
-    a = s.withColumn("band", F.explode(F.array(*(F.floor((F.col("y") + F.col("h")) / BAND).cast("long") + k for k in (-1, 0, 1, 2)))))
-    b = s.toDF(*PAGE, "below_id", "bx", "by", "bw", "bh").withColumn("band", band("by"))
+    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h").where("h >= 1")
+    a = s.withColumn("band", _bands(F.expr("y + 0.5 * h - 0.5"), F.expr("y + 2.2 * h + 0.5")))
+    b = s.toDF(*PAGE, "below_id", "bx", "by", "bw", "bh").withColumn("band", F.floor(F.col("by") / BAND).cast("long"))
     near = a.join(b, [*PAGE, "band"]).where("span_id <> below_id and by >= y + h - 0.5 * h and by - y - h <= 1.2 * h")
     same = (F.abs(F.col("x") - F.col("bx")) <= 1.5 * F.col("h")) | (F.least(F.expr("x + w"), F.expr("bx + bw")) - F.greatest("x", "bx") >= 0.5 * F.least("w", "bw"))
     near = near.where(same).withColumn("gap", F.expr("by - y - h"))
@@ -137,10 +138,10 @@ def below_neighbours(spans: DataFrame) -> DataFrame:
 
 
 def side_gaps(spans: DataFrame) -> DataFrame:
-    """(span_id, gap_left, gap_right): clear space to the nearest span on a shared height band."""
-    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h").where("h <= 80")
-    a = _banded(s, 0)
-    b = _banded(s, 1).toDF(*PAGE, "other", "nx", "ny", "nw", "nh", "band")
+    """(span_id, gap_left, gap_right): clear space to the nearest span that shares height, in all bands both cover."""
+    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h")
+    a = s.withColumn("band", _bands(F.col("y"), F.expr("y + h")))
+    b = a.toDF(*PAGE, "other", "nx", "ny", "nw", "nh", "band")
     near = a.join(b, [*PAGE, "band"]).where("span_id <> other and ny < y + h and ny + nh > y")
     left = F.when(F.expr("nx + nw <= x"), F.expr("x - nx - nw"))
     right = F.when(F.expr("nx >= x + w"), F.expr("nx - x - w"))

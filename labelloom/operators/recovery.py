@@ -44,7 +44,7 @@ def vertical_gaps(spans: DataFrame) -> DataFrame:
     from labelloom.operators.layout import PAGE, boxes
 
     band = 100.0
-    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h").where("w <= 2000")
+    s = boxes(spans).select(*PAGE, "span_id", "x", "y", "w", "h")
     cover = F.sequence(F.floor(F.col("x") / band).cast("long"), F.floor((F.col("x") + F.greatest("w", F.lit(0.0))) / band).cast("long"))
     a = s.withColumn("band", F.explode(cover))
     b = a.toDF(*PAGE, "other", "nx", "ny", "nw", "nh", "band")
