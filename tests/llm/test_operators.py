@@ -256,13 +256,39 @@ def test_names_of_one_maker(spark):
 # ---- listings ---------------------------------------------------------------------------
 
 
-def test_listing_attributes():
-    known = listings.Words([("variant", "rose", 9), ("variant", "sea breeze", 9), ("variant", "honey", 9), ("other", "rose face wash", 9), ("other", "sea breeze glass cleaner", 9), ("other", "honey rose syrup", 9), ("other", "rose honey", 5), ("ml", "200", 9), ("g", "500", 9), ("g", "750", 9)])
-    p = listings.Parser(known)
-    got = p.parse("BODETAJU INDUSTRIES Face Wash Honey 6.8 fl oz (Hot Deal) by Some Traders", "Net Qty: Set of 2, 200 ml each\nAlso available in 5 L\nGoes well with our Rose Face Wash.", "Some Traders")
-    assert (got["core"], got["goods"], got["variant"], got["dim"], got["size"], got["units"]) == ("bodetaju", "face wash", "honey", "ml", 200.0, 2)
-    got = p.parse("Fcae Wash | half kg x 3", "Brand: Bodetaju\nFlavour/Fragrance: Sea Breeze", None)
-    assert (got["core"], got["goods"], got["variant"], got["size"], got["units"]) == ("bodetaju", "face wash", "sea breeze", 500.0, 3)
+def listings_of(spark, rows):
+    return spark.createDataFrame([(i, a, b, None, None) for i, a, b in rows], "listing_id long, title string, text string, seller string, ingested_at timestamp")
+
+
+def groups_of(spark, rows):
+    return {r.listing_id: r.product_id for r in listings.product_groups(listings_of(spark, rows)).collect()}
+
+
+def test_what_one_listing_says():
+    got = listings.light("BODETAJU Face Wash Honey 6.8 fl oz (Hot Deal) EAN 4006381333931 Model: KX-20/7", "Net Qty: Set of 2, 200 ml each\nBrand: Bodetaju Industries\nFlavour/Fragrance: Sea Breeze", "Some Traders")
+    assert (got["core"], got["dim"], round(got["size"]), got["converted"], got["units"], got["gtins"], got["part"]) == ("bodetaju", "ml", 201, True, 2, ["04006381333931"], "kx207")
+    assert [w["w"] for w in got["words"]] == ["bodetaju", "face", "wash", "honey", "hot", "deal"] and [w["apart"] for w in got["words"]] == [False] * 4 + [True] * 2
+    assert got["variant"] == ["sea", "breeze"]
+
+
+def market(n=40):
+    """Listings of a few products with sales talk in brackets and without, and slips."""
+    rng = random.Random(4)
+    talk, rows, true = ["Hot Deal", "Great Taste", "Top Rated"], [], {}
+    for i in range(n * 6):
+        p = (rng.choice(["Zubamav", "Kesolit"]), rng.choice(["Rose Soap", "Extra Hot Pickle", "Pine Glass Cleaner"]), rng.choice([100, 250]))
+        t = rng.choice(talk)
+        title = [p[0], p[1], f"{p[2]} g", rng.choice([t, f"({t})", f"[{t}]", ""])]
+        rng.shuffle(title)
+        rows.append((i, " ".join(title).replace("Cleaner", rng.choice(["Cleaner"] * 9 + ["Cleanerr"])), rng.choice([f"Brand: {p[0]}", f"Make - {p[0]} Foods", None])))
+        true[i] = p
+    return rows, true
+
+
+def test_sales_talk_is_learned(spark):
+    rows, true = market()
+    got = groups_of(spark, rows)
+    assert all((got[a] == got[b]) == (true[a] == true[b]) for a, b in itertools.combinations(true, 2))
 
 
 @pytest.mark.parametrize("t,n", [("3 x 500 g", 3), ("500g*4", 4), ("pack of 6 75 g", 6), ("set of 2, 1 l each", 2), ("(12 pcs)", 12), ("2n 0.25 kg", 2), ("twin pack 2 litre each", 2), ("500 g", None)])
@@ -271,9 +297,42 @@ def test_numbers_of_units(t, n):
 
 
 def test_identifiers_join_only_what_agrees(spark):
-    rows = [(1, "Zuba Rose Soap 100 g 4006381333931", None), (2, "Zuba Soap 4006381333931", "Variant: Rose"), (3, "Pine Oil 1 l 4006381333931", "Brand: Other"), (4, "Zuba Rose Soap 100 g", None)]
-    rows += [(10 + i, "x", "Variant: Rose\nGoes well with our Rose Soap.\nGoes well with our Pine Oil.\nBrand: Zuba") for i in range(3)]
-    df = spark.createDataFrame([(i, a, b, None, None) for i, a, b in rows], "listing_id long, title string, text string, seller string, ingested_at timestamp")
-    g = {r.listing_id: r.product_id for r in listings.product_groups(df).collect()}
+    code = "4006381333931"
+    rows = [(1, f"Zuba Rose Soap 100 g {code}", None), (2, f"Zuba Soap {code}", "Variant: Rose"), (3, "Pine Oil 1 l 4006381333930", "Brand: Other"), (4, "Zuba Rose Soap 100 g", None)]
+    rows += [(10 + i, "Zuba x", "Variant: Rose\nBrand: Zuba") for i in range(3)]
+    g = groups_of(spark, rows)
     assert g[1] == g[2] == g[4] and g[3] != g[1]
-    assert listings.gtin_valid("4006381333931") and not listings.gtin_valid("4006381333930")
+    assert listings.gtin_valid(code) and not listings.gtin_valid("4006381333930")
+
+
+@pytest.mark.parametrize("ids", [(1, 2, 3), (3, 1, 2), (2, 3, 1)])
+def test_a_code_alone_joins_no_contradictions(spark, ids):
+    a, b, c = ids
+    rows = [(a, "EAN 4006381333931", None), (b, "Zubamav Rose Soap 100 g EAN 4006381333931", "Brand: Zubamav"), (c, "Kesolit Rose Soap 100 g EAN 4006381333931", "Brand: Kesolit")]
+    g = groups_of(spark, rows)
+    assert len(set(g.values())) == 3
+
+
+def test_a_code_joins_no_other_size_or_count(spark):
+    code = "EAN 4006381333931"
+    rows = [(1, f"Zubamav Rose Soap 100 g {code}", "Brand: Zubamav"), (2, f"Zubamav Rose Soap 4 x 750 g {code}", "Brand: Zubamav"), (3, f"Zubamav Fine Rose Soap 100 g {code}", "Brand: Zubamav")]
+    g = groups_of(spark, rows)
+    assert g[1] == g[3] != g[2]
+
+
+def test_chains_over_codes_do_not_join_contradictions(spark):
+    x, y = "EAN 4006381333931", "EAN 5901234123457"
+    rows = [(1, f"Zubamav Rose Soap 100 g {x}", "Brand: Zubamav"), (2, f"{x} {y}", None), (3, f"Kesolit Rose Soap 100 g {y}", "Brand: Kesolit")]
+    assert len(set(groups_of(spark, rows).values())) == 3
+
+
+def test_part_numbers_join_inside_a_brand(spark):
+    rows = [(1, "Zubamav Kettle Model: KX-20", "Brand: Zubamav"), (2, "Zubamav Steel Kettle model no. - kx 20", "Brand: Zubamav"), (3, "Kesolit Kettle Model: KX-20", "Brand: Kesolit")]
+    g = groups_of(spark, rows)
+    assert g[1] == g[2] != g[3]
+
+
+def test_abbreviations_name_the_same_things(spark):
+    words = spark.createDataFrame([("", w, n) for w, n in [("powder", 50), ("pwd", 9), ("pod", 9), ("noodles", 30), ("nood", 4), ("cream", 20), ("crm", 3)]], "scope string, w string, n long")
+    things = spark.createDataFrame([("", w, t, 1) for w, t in [("powder", 1), ("powder", 2), ("pwd", 1), ("pwd", 2), ("pod", 7), ("noodles", 3), ("nood", 3), ("cream", 4), ("crm", 4)]], "scope string, w string, thing long, n long")
+    assert {(r.w, r.c) for r in names.abbreviations(words, things).collect()} == {("pwd", "powder"), ("nood", "noodles"), ("crm", "cream")}

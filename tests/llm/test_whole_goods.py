@@ -3,9 +3,11 @@
 from labelloom.llm import listings, names
 
 
-def test_a_rare_commodity_is_kept():
-    known = listings.Words([("variant", "rose", 9), ("goods", "soap", 6000), ("goods", "pine oil", 1), ("other", "rose syrup", 2)])
-    assert set(known.goods) == {"soap", "pine oil", "syrup"}
+def test_a_rare_commodity_is_kept(spark):
+    rows = [(i, "Zuba Soap 100 g (Hot Deal)", "Brand: Zuba\nVariant: Rose") for i in range(300)] + [(1000 + i, "Zuba Pine Oil 100 g", "Brand: Zuba") for i in range(2)]
+    df = spark.createDataFrame([(i, a, b, None, None) for i, a, b in rows], "listing_id long, title string, text string, seller string, ingested_at timestamp")
+    g = {r.listing_id: r.product_id for r in listings.product_groups(df).collect()}
+    assert g[1000] == g[1001] != g[0] and len({g[i] for i in range(300)}) == 1
 
 
 def test_commodities_no_line_names(spark):
