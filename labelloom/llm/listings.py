@@ -236,7 +236,7 @@ def word_roles(tokens: DataFrame) -> DataFrame:
 def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cores = [brand_core(w, _LISTS, _LONG)[0] or None if w else None for w in b.column("names").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("listing_id"), pa.array(cores, pa.string())], names=["listing_id", "title_core"])
+        yield pa.RecordBatch.from_arrays([b.column("names"), pa.array(cores, pa.string())], names=["names", "title_core"])
 
 
 def attributes(listings: DataFrame) -> DataFrame:
@@ -271,8 +271,10 @@ def attributes(listings: DataFrame) -> DataFrame:
     sets = known.withColumn("role", role).groupBy("listing_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("role") == "goods", F.col("root")))).alias("goods"), F.array_sort(F.collect_set(F.when(F.col("role") == "maker", F.col("root")))).alias("names")
     )
-    cores = sets.where(F.size("names") > 0).select("listing_id", "names").mapInArrow(_cores, "listing_id long, title_core string")
-    parsed = rows.select("listing_id", "core", "dim", "size", "units", "gtins", "part").join(sets.select("listing_id", "goods"), "listing_id", "left").join(cores, "listing_id", "left")
+    sets = cut(sets)
+    cores = sets.where(F.size("names") > 0).select("names").distinct().mapInArrow(_cores, "names array<string>, title_core string")
+    sets = sets.join(cores, "names", "left").select("listing_id", "goods", "title_core")
+    parsed = rows.select("listing_id", "core", "dim", "size", "units", "gtins", "part").join(sets, "listing_id", "left")
     parsed = cut(parsed.withColumn("sure", F.col("core").isNotNull()).withColumn("core", F.coalesce("core", "title_core")).withColumn("goods", F.when(F.size("goods") > 0, F.col("goods"))).drop("title_core"))
     # a labelled name counts more than one from a title
     count = parsed.where("core is not null").groupBy("core").agg(F.sum(F.when(F.col("sure"), 5).otherwise(1)).alias("n"))
