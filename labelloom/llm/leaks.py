@@ -39,11 +39,14 @@ from labelloom.session import table
 
 MIN_WORDS = 20
 BLOCK = 10
-COSINE = 0.75
+#: Least cosine of a candidate for a reworded copy; the same words have a cosine of 1.
+COSINE, SAME = 0.75, 0.995
+#: Share of an item's blocks that must point to one place before the place is compared.
+VOTES = 0.4
 #: Words of a block that must be words of the items, and cells looked up for each block.
 KNOWN, PROBES = 7, 4
 #: A reworded copy has this share of the item's words in order, and all its answers.
-IN_ORDER = 0.8
+IN_ORDER, PRESENT = 0.8, 0.7
 RANK, KEEP = 32, 24
 SEGMENT = 1 << 19
 ITEMS_AT_ONCE = 5000
@@ -274,24 +277,26 @@ class Cells:
         near = np.argmax(x @ c.T, axis=1)
         self.members = [np.flatnonzero(near == i) for i in range(k)]
 
-    def search(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row of z, row of x) with at least the cosine, within the nearest cells."""
+    def search(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of z, row of x, cosine) of pairs with at least the cosine, within the nearest cells."""
         e = np.empty(0, dtype=np.int64)
         if not len(z):
-            return e, e
+            return e, e, np.empty(0)
         near = np.argpartition(-(z @ self.c.T), self.probes - 1, axis=1)[:, : self.probes]
         order = np.argsort(near.ravel(), kind="stable")
         cell = near.ravel()[order]
         cuts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        left, right = [], []
+        left, right, cosine = [], [], []
         for s, t in zip(cuts, [*cuts[1:], len(cell)]):
             m = self.members[cell[s]]
             if len(m):
                 rows = order[s:t] // self.probes
-                a, b = np.nonzero(z[rows] @ self.x[m].T >= self.cosine)
+                near_ = z[rows] @ self.x[m].T
+                a, b = np.nonzero(near_ >= self.cosine)
                 left.append(rows[a])
                 right.append(m[b])
-        return (np.concatenate(left), np.concatenate(right)) if left else (e, e)
+                cosine.append(near_[a, b])
+        return (np.concatenate(left), np.concatenate(right), np.concatenate(cosine)) if left else (e, e, np.empty(0))
 
 
 def _runs(term: np.ndarray, items: Items, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -311,12 +316,16 @@ def _runs(term: np.ndarray, items: Items, p: np.ndarray, q: np.ndarray) -> tuple
     return out[0], out[1]
 
 
-def _places(of: np.ndarray, item: np.ndarray, start: np.ndarray, slack: np.ndarray) -> np.ndarray:
-    """One row of each (text, item) and place: starts within half the slack of each other are one place."""
-    k = start // np.maximum(1, slack // 2)
-    order = np.lexsort((k, item, of))
-    o, i, p = of[order], item[order], k[order]
-    return order[np.concatenate([[True], (o[1:] != o[:-1]) | (i[1:] != i[:-1]) | (p[1:] != p[:-1])])] if len(order) else order
+def _places(items: Items, pair: np.ndarray, item: np.ndarray, start: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """One candidate of each (text, item, place) that enough blocks of the text point to.
+
+    Candidates whose items would begin within half the slack of each other point to one place.
+    """
+    key = pair.astype(np.int64) << 24 | np.maximum(start // (items.slack[item] // 2) + 64, 0)
+    place, at, of = np.unique(key, return_index=True, return_inverse=True)
+    each = np.unique(of.astype(np.int64) << 24 | p)  # a block votes once
+    votes = np.bincount(each >> 24, minlength=len(place))
+    return at[votes >= np.maximum(2, np.ceil(VOTES * items.size[item[at]] / BLOCK))]
 
 
 def _search(items: Items, space: np.ndarray, cosine: float, min_words: int, report: bool, overlap: int):
@@ -333,29 +342,34 @@ def _search(items: Items, space: np.ndarray, cosine: float, min_words: int, repo
             of, at = of[known], at[known]
             ends = np.concatenate([first[1:], [len(term)]])
             cols: list[list] = [[] for _ in names]
-            for k in range(0, len(at), 1 << 14):
-                z = _project(term[at[k : k + (1 << 14), None] + np.arange(BLOCK)], space)
-                rows, window = cells.search(z)
+            for k in range(0, len(at), 1 << 15):
+                z = _project(term[at[k : k + (1 << 15), None] + np.arange(BLOCK)], space)
+                rows, window, near = cells.search(z)
                 if not len(rows):
                     continue
                 doc, p, q = of[k + rows], at[k + rows], items.at[window]
-                back, ahead = _runs(term, items, p, q)
-                back, ahead = np.minimum(back, p - first[doc]), np.minimum(ahead, ends[doc] - p)
-                words = np.where(ahead > 0, items.ended[q + np.maximum(ahead, 1) - 1] - items.begun[q - back], 0)
-                item = items.of[q]
-                pair = doc * len(items.ids) + item
-                order = np.lexsort((-words, pair))
-                if not report:
-                    order = order[words[order] >= min_words]
-                best = order[np.concatenate([[True], pair[order][1:] != pair[order][:-1]])] if len(order) else order
+                pair = doc * len(items.ids) + items.of[q]
                 shares: dict[int, tuple[float, float]] = {}
                 if report:
+                    item = items.of[q]
                     start = p - (q - items.begin[item])
-                    for o in _places(doc, item, start, items.slack[item]):
+                    for o in _places(items, pair, item, start - first[doc], p):
                         lo, hi = max(first[doc[o]], start[o] - items.slack[item[o]]), min(ends[doc[o]], start[o] + items.size[item[o]] + items.slack[item[o]])
                         got = _compare(items, item[o], term[lo:hi])
                         if got is not None:
                             shares[int(pair[o])] = max(shares.get(int(pair[o]), (0.0, 0.0)), got)
+                same = near >= SAME  # verbatim blocks are among these
+                reworded = np.isin(pair, list(shares)) if shares else np.zeros(len(pair), dtype=bool)
+                keep = same | reworded
+                doc, p, q, pair = doc[keep], p[keep], q[keep], pair[keep]
+                item = items.of[q]
+                back, ahead = _runs(term, items, p, q)
+                back, ahead = np.minimum(back, p - first[doc]), np.minimum(ahead, ends[doc] - p)
+                words = np.where(ahead > 0, items.ended[q + np.maximum(ahead, 1) - 1] - items.begun[q - back], 0)
+                order = np.lexsort((-words, pair))
+                if not report:
+                    order = order[words[order] >= min_words]
+                best = order[np.concatenate([[True], pair[order][1:] != pair[order][:-1]])] if len(order) else order
                 for o in best:
                     row = [int(ids[doc[o]]), int(items.ids[item[o]]), int(words[o])]
                     if report:
@@ -374,10 +388,10 @@ def _search(items: Items, space: np.ndarray, cosine: float, min_words: int, repo
 def _compare(items: Items, item: int, region: np.ndarray) -> tuple[float, float] | None:
     """Share of the item's words in the longest common subsequence, and share of its answers present.
 
-    None where so few of the item's words stand there at all that half of them cannot be in order.
+    None where less than PRESENT of the item's words stand there at all, in whatever order.
     """
     own = items.term[items.begin[item] : items.begin[item] + items.size[item]]
-    if np.isin(own, region).sum() * 2 < len(own):
+    if np.isin(own, region).sum() < PRESENT * len(own):
         return None
     best = np.zeros(len(region) + 1, dtype=np.int32)
     for w in own:
@@ -411,7 +425,7 @@ def _groups(items: DataFrame) -> Iterator[Items]:
 def leaked(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, cosine: float = COSINE, report: bool = False) -> DataFrame:
     """(doc_id, item_id, run_words[, lcs_share, answers_found]) of documents and the items in them.
 
-    With ``report`` the pairs that share half of the item's words in one place come out as well;
+    With ``report`` the pairs that share PRESENT of the item's words in one place come out as well;
     lcs_share and answers_found are those of the place where most words are in order.
     """
     if 2 * BLOCK > min_words + 1:
@@ -422,7 +436,7 @@ def leaked(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, cosine
     for group in _groups(items):
         overlap = max(256, min_words, 3 * int(group.size.max()))  # in words: no passage and no place is cut
         space = latent_space(docs, group, overlap)
-        out = out.unionByName(docs.mapInArrow(_search(group, space, cosine, min_words, report, overlap), schema))
+        out = out.unionByName(docs.mapInArrow(_search(group, space, cosine if report else max(cosine, SAME), min_words, report, overlap), schema))
     if not report:
         return out.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"))
     best = out.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max(F.struct("lcs_share", "answers_found")).alias("m"))

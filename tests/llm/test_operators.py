@@ -107,10 +107,10 @@ def test_cells_find_what_brute_force_finds():
     rng = np.random.default_rng(1)
     x = leaks._unit(rng.standard_normal((300, 8)).astype(np.float32))
     z = leaks._unit(x[rng.integers(0, 300, 200)] + rng.standard_normal((200, 8)).astype(np.float32) * 0.05)
-    a, b = leaks.Cells(x, 0.98).search(z)
+    a, b, _ = leaks.Cells(x, 0.98).search(z)
     got, want = set(zip(a.tolist(), b.tolist())), set(zip(*(v.tolist() for v in np.nonzero(z @ x.T >= 0.98))))
     assert got <= want and len(got) >= 0.9 * len(want)
-    a, b = leaks.Cells(x, 0.999).search(x)
+    a, b, _ = leaks.Cells(x, 0.999).search(x)
     assert set(zip(a.tolist(), b.tolist())) >= {(i, i) for i in range(300)}  # equal vectors are never missed
 
 
