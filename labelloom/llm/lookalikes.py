@@ -1,16 +1,20 @@
 """One form for visually identical text (problem 2).
 
-Method: a vocabulary trie is traversed with a weighted edit automaton in which look-alikes and
-ignorable characters cost nothing; a token that reaches a vocabulary word takes its spelling
-(the most frequent one), every other token is normalised by table. The vocabulary holds the
+Method: a vocabulary trie is traversed with a weighted edit automaton in which look-alikes,
+ignorable characters, separate accents and compatibility forms cost nothing; a token that reaches a
+vocabulary word takes its spelling (the most frequent one), every other token is normalised by table.
+Letters that are only nearly alike (Greek rho for p, Armenian, Cherokee and Coptic letters, small
+capitals) are in the automaton alone: the vocabulary has to confirm them. The vocabulary holds the
 ordinary tokens of the corpus itself by language, most frequent first, up to the documented
-bound VOCABULARY; a token beyond the bound is treated by table, so nothing is lost.
+bound VOCABULARY; a token beyond the bound is treated by table.
 
 Scale: lines of plain ASCII in a Latin language never leave the JVM; the vocabulary is one
 partial aggregate; no line is shuffled but for the choice of a re-sent row's last version.
 
 Defined results: null and empty texts have no suspects and stay as they are; of rows with one
 span_id the last ingested counts; an unknown or null language is judged by the letters of the line.
+Devanagari letters with a nukta have two spellings that are both proper: they are no suspects, and
+come out as letter and nukta where Unicode composes none, else as the composed letter.
 """
 
 from __future__ import annotations
@@ -39,7 +43,16 @@ CYRILLIC_GREEK = "оο АΑ ВΒ ЕΕ КΚ МΜ НΗ ОΟ РΡ ТΤ ХΧ"
 MARKS = {"\u2010": "-", "\u2011": "-", "\u2215": "/", "\u2044": "/", "\u2024": ".", "\u201a": ",", "\ua789": ":", "\u2236": ":", "\u037e": ";", "\u02d0": ":"}
 # Gaps other than U+0020, and characters that are not drawn.
 GAPS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
-IGNORABLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
+_IGNORED = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
+# Further ranges of characters that are not drawn (fillers, variation selectors, tags, deprecated marks).
+_IGNORED_RANGES = ((0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x2065, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
+IGNORABLE = frozenset(_IGNORED) | {chr(c) for a, b in _IGNORED_RANGES for c in range(a, b + 1)}
+# Letters nearly alike, the other letter first; only a word of the vocabulary confirms them.
+NEAR_LATIN = (
+    "ρp υu τt ιi κk ηn ωw γy χx αa εe σo օo ոn սu հh զq ցg ԁd ⲟo ⲥc ⲣp ⲭx Ⲁa ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ ᴀa ʙb ᴄc ᴅd ᴇe ɢg ʜh ɪi ᴊj ᴋk ʟl ᴍm ɴn ᴏo ᴘp ʀr ꜱs ᴛt ᴜu ᴠv ᴡw ʏy ᴢz ɩi кk тt мm нh вb п​n гr".replace("\u200b", "")
+)
+NEAR_CYRILLIC = "kк tт mм hн bв nп rг uи ᴋк ᴛт ᴍм ʜн ʙв κк τт μм ηп αа εе ρр χх σо υу"
+NEAR_GREEK = "pρ uυ tτ iι kκ nη wω yγ xχ aα eε рρ тτ кκ хχ аα еε ᴋκ ᴛτ"
 LANGUAGES = {"en": "LATIN", "fr": "LATIN", "ru": "CYRILLIC", "el": "GREEK", "hi": "DEVANAGARI"}
 
 
@@ -53,6 +66,7 @@ TO = {
     "GREEK": _pairs(LATIN_GREEK) | _pairs(CYRILLIC_GREEK),
     "DEVANAGARI": {},
 }
+NEAR = {"LATIN": _pairs(NEAR_LATIN), "CYRILLIC": _pairs(NEAR_CYRILLIC), "GREEK": _pairs(NEAR_GREEK), "DEVANAGARI": {}}
 JOINERS = "\u200c\u200d"
 
 
@@ -90,7 +104,7 @@ def _shaping(text: str, i: int) -> bool:
 
 
 def _drop(text: str) -> str:
-    return "".join(c for i, c in enumerate(text) if not (c in IGNORABLE or 0xFE00 <= ord(c) <= 0xFE0F) or _shaping(text, i))
+    return "".join(c for i, c in enumerate(text) if c not in IGNORABLE or _shaping(text, i))
 
 
 def _composed(text: str) -> str:
@@ -115,32 +129,45 @@ def line_script(text: str, lang: str | None) -> str:
     return max(seen, key=lambda k: (seen[k], k == "LATIN"))
 
 
+def _marks(text: str, i: int) -> int:
+    """How many combining marks follow the character at i."""
+    k = i + 1
+    while k < len(text) and unicodedata.combining(text[k]) not in (0, 9):
+        k += 1
+    return k - i - 1
+
+
 class Trie:
     """Vocabulary trie; each node keeps the best word that ends there."""
 
     def __init__(self, words: list[tuple[str, int]]) -> None:
         self.root: dict = {}
+        self.words = {w for w, _ in words}
         for word, n in words:
             node = self.root
             for c in word:
                 node = node.setdefault(c, {})
             if n > node.get("", (None, -1))[1]:
                 node[""] = (word, n)
-        self.classes: dict[str, str] = {}
-        for to in TO.values():
-            for a, b in to.items():
-                self.classes[a] = "".join(dict.fromkeys(self.classes.get(a, a) + b))
-
-    def canonical(self, token: str, budget: float = 0.0) -> str | None:
-        """The cheapest vocabulary word; look-alikes and ignorables are free, others cost 1."""
+        self.classes: dict[str, dict[str, str]] = {}
+        for script in TO:
+            classes: dict[str, str] = {}
+            for to in (TO[script], NEAR[script]):
+                for a, b in to.items():
+                    classes[a] = "".join(dict.fromkeys(classes.get(a, a) + b))
+            self.classes[script] = classes
+
+    def canonical(self, token: str, script: str = "LATIN", budget: float = 0.0) -> str | None:
+        """The cheapest vocabulary word; look-alikes, ignorables and separate accents are free, others cost 1."""
+        classes = self.classes[script]
         states = [(0.0, 0, self.root)]
         best: tuple[float, int, str] | None = None
         done = set()
         while states:
             cost, i, node = states.pop()
-            if (id(node), i) in done:
+            if (id(node), i, cost) in done:
                 continue
-            done.add((id(node), i))
+            done.add((id(node), i, cost))
             if i == len(token):
                 if "" in node and (best is None or (cost, -node[""][1]) < best[:2]):
                     best = (cost, -node[""][1], node[""][0])
@@ -149,34 +176,54 @@ class Trie:
             if c in IGNORABLE and not _shaping(token, i):
                 states.append((cost, i + 1, node))
                 continue
-            free = self.classes.get(c, "") + c + _compat(c)
-            for d in dict.fromkeys(free):
-                if d in node:
-                    states.append((cost, i + 1, node[d]))
+            marks = _marks(token, i)
+            readings = dict.fromkeys([c, *classes.get(c, ""), _compat(c)])
+            if marks:  # a letter and its accents are one step
+                tail = token[i + 1 : i + 1 + marks]
+                readings = dict.fromkeys(unicodedata.normalize("NFC", r + tail) for r in readings)
+            for r in readings:
+                nxt = node
+                for d in r:
+                    nxt = nxt.get(d)
+                    if nxt is None:
+                        break
+                if nxt is not None:
+                    states.append((cost, i + 1 + marks, nxt))
             if cost + 1 <= budget:
-                states += [(cost + 1, i + 1, nxt) for d, nxt in node.items() if d and d not in free]
+                states += [(cost + 1, i + 1 + marks, nxt) for d, nxt in node.items() if d and d not in readings]
         return best[2] if best else None
 
 
+def _confirmed(token: str, script: str, trie: Trie | None) -> str | None:
+    """The vocabulary's spelling of a token, if it is one of the script; words that stand so themselves stay."""
+    if trie is None or script == "DEVANAGARI" or token in trie.words:
+        return None
+    word = trie.canonical(token, script)
+    return word if word is not None and {s for c in word if (s := _script(c))} <= {script} else None
+
+
 def _token(token: str, script: str, trie: Trie | None) -> str:
     t = _composed("".join(_compat(MARKS.get(c, c)) for c in _drop(token)))
     scripts = {s for c in t if (s := _script(c))}
-    if scripts <= {script} and not any(c in TO[script] for c in t):
+    if scripts <= {script} and not any(c in TO[script] or c in NEAR[script] for c in t):
+        if t != token and (word := _confirmed(token, script, trie)) is not None:
+            return word
         return t
     to = TO.get(script, {})
     # letters that only this script has, or only another
     own = any(_script(c) == script for c in t)
     other = [c for c in t if _script(c) not in (None, script)]
     if script == "DEVANAGARI" or (other and any(c not in to for c in other)):
-        if script != "DEVANAGARI" and own and any(c in to for c in other) and not any(c not in to for c in other):
-            pass
-        elif "LATIN" in scripts and len(scripts) > 1 and all(c in TO["LATIN"] for c in t if _script(c) not in (None, "LATIN", "DEVANAGARI")):
+        # a word of this script with some letters of others, which the vocabulary confirms
+        if own and (word := _confirmed(token, script, trie)) is not None:
+            return word
+        if "LATIN" in scripts and len(scripts) > 1 and all(c in TO["LATIN"] for c in t if _script(c) not in (None, "LATIN", "DEVANAGARI")):
             script, to = "LATIN", TO["LATIN"]
         else:
             return t  # properly written in another script
     elif script in ("CYRILLIC", "GREEK") and not own and (any(c.isdigit() for c in t) or (len(other) > 1 and t.isascii() and t.isupper()) or t.islower() and t in _UNITS):
         return t  # a code or a unit
-    if trie is not None and (word := trie.canonical(t)) is not None and {s for c in word if (s := _script(c))} <= {script}:
+    if (word := _confirmed(token, script, trie)) is not None:
         return word
     return "".join(to.get(c, c) for c in t)
 
@@ -196,6 +243,11 @@ def canonical_text(text: str, lang: str | None, trie: Trie | None = None) -> str
     return " ".join(_token(t, script, trie) if t else t for t in spaced.split(" "))
 
 
+def one_spelling(text: str) -> str:
+    """Devanagari letters with a nukta in their one form; other text stays."""
+    return text if text.isascii() else re.sub("[\u0900-\u097f]+", lambda m: unicodedata.normalize("NFC", m[0]), text)
+
+
 def last_rows(spans: DataFrame) -> DataFrame:
     """One row per span_id: the last ingested (ties by content)."""
     keep = [c for c in spans.columns if c != "span_id"]
@@ -230,9 +282,10 @@ def _suspects(words: list[tuple[str, int]], with_text: bool):
                     form = canonical_text(text, lang, trie)
                     if len(known) < 50_000:
                         known[key] = form
-                if form != text:
+                spelt = one_spelling(form) if with_text else form
+                if spelt != text:
                     ids.append(i)
-                    out.append(form)
+                    out.append(spelt)
             cols = [pa.array(ids, pa.int64())] + ([pa.array(out, pa.string())] if with_text else [])
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -208,8 +208,25 @@ def test_one_form(raw, lang, form):
 
 
 def test_trie_walks_look_alikes_for_nothing():
-    t = lookalikes.Trie([("экспорта", 5), ("paper", 9)])
-    assert t.canonical("экcпoртa") == "экспорта" and t.canonical("pа​per") == "paper" and t.canonical("papar") is None and t.canonical("papar", 1) == "paper"
+    t = lookalikes.Trie([("экспорта", 5), ("paper", 9), ("café", 3), ("film", 2)])
+    assert t.canonical("экcпoртa", "CYRILLIC") == "экспорта" and t.canonical("pа\u200bper") == "paper" and t.canonical("papar") is None and t.canonical("papar", budget=1) == "paper"
+    assert t.canonical("cafe\u0301") == "café" and t.canonical("ﬁlm") == "film" and t.canonical("ｐａｐｅｒ") == "paper"
+
+
+@pytest.mark.parametrize("raw,form", [("ρaper", "paper"), ("pᴀper", "paper"), ("paper\U000e0101", "paper"), ("p\u2065aper", "paper")])
+def test_the_vocabulary_confirms_letters_nearly_alike(raw, form):
+    words = [("paper", 9)]
+    assert lookalikes.canonical_text(raw, "en", lookalikes.Trie(words)) == form
+    if raw[1] in "aᴀ" and raw[-1] == "r":  # the table alone leaves these
+        assert lookalikes.canonical_text(raw, "en", None) == raw
+
+
+def test_found_lines_need_the_trie(spark):
+    rows = [(i, "paper on the label", "en", None) for i in range(5)] + [(9, "ρaper on the label", "en", None), (10, "σ = 5 ρ", "en", None), (11, "क़लम", "hi", None), (12, "क़लम", "hi", None)]
+    s = spark.createDataFrame(rows, "span_id long, text string, lang string, ingested_at timestamp")
+    assert [r.span_id for r in lookalikes.suspects(s).collect()] == [9]
+    form = {r.span_id: r.text for r in lookalikes.canonical_spans(s).collect()}
+    assert form[9] == form[0] and form[11] == form[12]
 
 
 # ---- scanned pages ----------------------------------------------------------------------
