@@ -6,14 +6,16 @@ the token hashes that holds this minimum names all stretches it is minimal for:
 window (left, centre, right). Nodes narrower than a stretch are never made, so a text of n
 characters gives about 2n/(span-q+2) windows. Two texts with an equal stretch hold windows
 with the same min-hash whose intervals, laid over each other at the centres, both contain the
-stretch. For verbatim stretches every hash function agrees, so one function is enough for full
-recall; candidates are then verified character by character around the centres.
+stretch: the join on the min-hash is an interval join as well, on the intervals' overlap.
+For verbatim stretches every hash function agrees, so one function is enough for full
+recall; candidates are then verified character by character around the centres. Passages that are
+only nearly equal are not looked for (README gives the recall this leaves on them).
 
 Scale: windows of exact copies are collapsed by a partial aggregate before they meet; groups
 of up to ``pair_limit`` windows with one min-hash are verified pair by pair, larger groups
 (standing paragraphs shorter than ``span`` in very many texts) are split exactly, by the
-hashes of the full-length stretches inside their windows, so the work follows the result and
-no pair of unrelated texts is made. Texts are never shuffled for the window stage; for
+64-bit hashes of the full-length stretches inside their windows (equal hashes of 400 characters
+count as equal characters), so the work follows the result and no pair of unrelated texts is made. Texts are never shuffled for the window stage; for
 verification only texts with a shared window are (a bitmap of fixed size drops the others
 before the join, and stays exact when it is full).
 
@@ -40,8 +42,8 @@ Q = 200
 SEGMENT = 1 << 19
 #: Groups of at most this many windows are compared pair by pair; larger ones by stretch hashes.
 PAIR_LIMIT = 48
-#: Bits of the document bitmap: 2**20, at most 128 KiB however many documents there are.
-BITMAP = 1 << 20
+#: Least and greatest number of bits of the bitmap of texts (at most 2 MiB); it has BITS_A_TEXT a shared text between.
+BITMAP, BITS_A_TEXT = (1 << 20, 1 << 24), 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -238,10 +240,10 @@ def _stretches(span: int, q: int):
     return run
 
 
-def _bitmap_filter(bitmap: np.ndarray):
+def _bitmap_filter(bitmap: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slot = b.column("th").to_numpy() % BITMAP
+            slot = b.column("th").to_numpy() % bits
             yield b.filter(pa.array((bitmap[slot >> 3] >> (slot & 7)) & 1 == 1))
 
     return run
@@ -263,10 +265,11 @@ def shared_spans(docs: DataFrame, span: int = SPAN, q: int = Q, pair_limit: int
     windows = cut(found.groupBy("v", "th", "c", "l", "r").agg(F.min("doc_id").alias("doc_id")))
     hot = windows.groupBy("v").agg(F.count("*").alias("m"), F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("v", "m")
     shared = cut(windows.join(hot, "v"))
-    slots = shared.select((F.pmod("th", F.lit(BITMAP))).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()
-    bitmap = np.zeros(BITMAP // 8, dtype=np.uint8)
+    bits = min(BITMAP[1], max(BITMAP[0], 1 << (BITS_A_TEXT * shared.select("th").distinct().count()).bit_length()))
+    slots = shared.select((F.pmod("th", F.lit(bits))).cast("int").alias("s")).distinct().toPandas()["s"].to_numpy()
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
     np.bitwise_or.at(bitmap, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    texts = docs.mapInArrow(_bitmap_filter(bitmap), docs.schema)
+    texts = docs.mapInArrow(_bitmap_filter(bitmap, bits), docs.schema)
     lists = shared.groupBy("doc_id", "th").agg(F.collect_list(F.struct("v", "c", "l", "r", "m")).alias("w"))
     ctx = (
         texts.join(lists, ["doc_id", "th"])
@@ -275,8 +278,10 @@ def shared_spans(docs: DataFrame, span: int = SPAN, q: int = Q, pair_limit: int
     )
     ctx = cut(ctx)
     few, many = ctx.where(F.col("m") <= pair_limit), ctx.where(F.col("m") > pair_limit)
-    side = lambda x: few.select("v", *(F.col(k).alias(f"{k}_{x}") for k in ("th", "c", "before", "after")))
-    pairs = side("a").join(side("b"), "v").where("th_a < th_b").drop("v")
+    side = lambda x: few.select("v", *(F.col(k).alias(f"{k}_{x}") for k in ("th", "c", "l", "r", "before", "after")))
+    # laid over each other at their centres, the two intervals must both hold one stretch of t tokens
+    overlap = "least(c_a - l_a, c_b - l_b) + least(r_a - c_a, r_b - c_b) + 1 >= " + str(span - q + 1)
+    pairs = side("a").join(side("b"), "v").where("th_a < th_b").where(overlap).drop("v", "l_a", "l_b", "r_a", "r_b")
     schema = "th_a long, th_b long, start_a int, start_b int, n int"
     spans = pairs.mapInArrow(_verify(span, q), schema)
     grams = many.mapInArrow(_stretches(span, q), "v long, g long, before long, th long, start int")

@@ -38,6 +38,14 @@ def test_shared_pairs_equal_brute_force(spark, limit):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_intervals_decide(spark):
+    """Windows of one min-hash whose intervals do not overlap by a stretch are no candidates."""
+    rng = random.Random(2)
+    core = text(rng, 24)  # shorter than a stretch: shares the min-hash, not the stretch
+    rows = [(i, text(rng, 40) + core + text(rng, 40)) for i in range(20)]
+    assert spans.shared_pairs(spark.createDataFrame(rows, "doc_id long, text string"), span=40, q=20).count() == len(brute_pairs(rows, 40)) == 0
+
+
 def test_one_passage_in_very_many_texts(spark):
     rng = random.Random(9)
     long_, short = text(rng, 90), text(rng, 35)
