@@ -1,10 +1,12 @@
 """Repair of text from scanned pages (problem 5).
 
 Method: joint word segmentation, decoded over de-lined character streams. The lines of a page,
-without running headers, footers and page numbers, are one stream; a Viterbi lattice over it
+without running headers, footers and page numbers, are one stream with the last line of the page
+before and the first of the page after; one Viterbi lattice over it
 has arcs for a word as it stands, for a word read through character confusions (found in a
-trie over the lexicon), for two pieces merged, for one piece split, and at a line's end for
-a word that goes on in the next line (hyphen dropped) or a compound broken at its own hyphen.
+trie over the lexicon), for two pieces merged, for one piece split, and over a line's end for
+a word that goes on in the next line (with a mark, which is dropped, or without one) or a compound
+broken at its own hyphen. What a line's end means is decided by the cheapest path, with all else.
 Costs are negative log frequencies of the corpus' own words, so a rare spelling is corrected only
 to a word that is more frequent by the cost of the confusion. Paragraph boundaries minimise a
 cost over the lines of a page (indent, short last line, closed sentence) by dynamic programming.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -109,7 +112,7 @@ class Lexicon:
         if (kept := self.known.get(w)) is not None:
             return kept
         best = (self.cost(w), w, False)
-        if self.log.get(w, 0.0) < self.total - LISTED - 1 and sum(c.islower() for c in w) >= max(1, (len(w) + 1) // 2):
+        if self.log.get(w, 0.0) < self.total - LISTED - 1 and sum(_small(c) for c in w) >= max(1, (len(w) + 1) // 2):
             for extra, v in self._corrections(w):
                 c = self.cost(v) + extra
                 if c < best[0] - 1e-9 and self.log[v] >= math.log(3):
@@ -130,27 +133,91 @@ def pieces(token: str) -> tuple[str, list[str], str]:
 
 def _word(p: str) -> bool:
     """Can be an ordinary lower-case word: no capital first, letters prevail, no amount or code."""
-    if not p or len(p) < 2 or p[0].isupper() or not any(c.isalpha() and c.islower() for c in p):
+    if not p or len(p) < 2 or p[0].isupper() or not any(_small(c) for c in p):
         return False
-    return sum(c.isalpha() and c.islower() or c == "I" for c in p) * 2 >= len(p) and not re.fullmatch(r"\d+[a-z]{1,3}", p)
+    return sum(_small(c) or c == "I" for c in p) * 2 >= len(p) and not re.fullmatch(r"\d+[a-z]{1,3}", p)
 
 
-def decode(tokens: list[str], lex: Lexicon, skip_first: bool, skip_last: bool) -> tuple[list[str], bool]:
-    """Viterbi over the pieces of one stretch: (words, any correction). Ends may be word parts."""
+def _small(c: str) -> bool:
+    """A letter that is no capital, or a mark on one (scripts without case have small letters only)."""
+    return (c.isalpha() and not c.isupper()) or unicodedata.category(c)[0] == "M"
+
+
+#: Cost of a mark at a line's end that is no break of a word.
+KEPT_MARK = math.log(400)
+
+
+def _broken(last: str, following: str) -> tuple[str, str] | None:
+    """The two parts of the word that a marked line end may break, None if it cannot."""
+    if len(last) < 2 or last[-1] not in BREAKS:
+        return None
+    head = re.split(r"[-'’/]", _PIECE.match(last.rstrip(BREAKS)).group(2))[-1]
+    tail = re.split(r"[-'’/]", _PIECE.match(following).group(2))[0]
+    if not head or not tail or not head[-1].isalnum() or sum(c.isdigit() for c in head) * 2 > len(head) or not any(_small(c) for c in tail) or tail[0].isupper():
+        return None
+    return head, tail
+
+
+class Step:
+    """One arc of the lattice: tokens i to j read as ``words``.
+
+    kind is 'word' for a word that goes on in the next line, 'compound' for one broken at its own
+    hyphen, '' else; bad tells for the first and the second token whether it was misread.
+    """
+
+    __slots__ = ("i", "j", "cost", "words", "kind", "bad")
+
+    def __init__(self, i: int, j: int, cost: float, words: list[str], kind: str = "", bad: tuple[bool, bool] = (False, False)) -> None:
+        self.i, self.j, self.cost, self.words, self.kind, self.bad = i, j, cost, words, kind, bad
+
+
+def _over_the_end(i: int, last: str, following: str, lex: Lexicon) -> Iterator[Step]:
+    """Arcs that read the last token of a line and the first of the next as one word."""
+    parts = _broken(last, following)
+    if parts is None:  # cut without a mark: only if it makes a word that its parts are not
+        b1, p1, a1 = pieces(last)
+        b2, p2, a2 = pieces(following)
+        if not a1 and not b2 and len(p1) == len(p2) == 1 and _word(p1[0]) and _word(p2[0]) and p1[0] not in lex.log and p2[0] not in lex.log and (w := p1[0] + p2[0]) in lex.log:
+            yield Step(i, i + 2, lex.cost(w) + LISTED, [b1 + w + a2], "word")
+        return
+    head, tail = parts
+    before, first, _ = pieces(last.rstrip(BREAKS))
+    _, rest, after = pieces(following)
+    left, right = before + "".join(first[:-1]), "".join(rest[1:]) + after
+    aside = sum(lex.best(p)[0] for p in [*first[:-1], *rest[1:]] if _word(p))
+    joined, whole = head + tail, f"{head}-{tail}"
+    if head[0].isupper():
+        cost, spelt, fixed = lex.cost(joined.lower()), joined, False
+        whole = whole.lower()
+    else:
+        cost, spelt, fixed = lex.best(joined)
+    bad = (not spelt.startswith(head), spelt.startswith(head) or not spelt.endswith(tail)) if fixed else (False, False)
+    yield Step(i, i + 2, cost + aside, [left + spelt + right], "word", bad)
+    one, two = lex.best(head), lex.best(tail)
+    apart = f"{one[1]}-{two[1]}".lower()
+    yield Step(i, i + 2, min(lex.cost(whole), lex.cost(apart) + LISTED) + aside, [left + f"{one[1]}-{two[1]}" + right], "compound", (one[2], two[2]))
+
+
+def decode(lines: list[list[str]], lex: Lexicon) -> list[Step]:
+    """The cheapest path over the tokens of all lines as one stream."""
+    tokens = [t for line in lines for t in line]
+    ends, at = set(), 0
+    for line in lines:
+        at += len(line)
+        ends.add(at - 1)
     n = len(tokens)
     cost = [0.0] + [math.inf] * n
-    back: list[tuple[int, list[str], bool]] = [(0, [], False)] * (n + 1)
+    back: list[Step | None] = [None] * (n + 1)
 
-    def arc(i: int, j: int, c: float, words: list[str], fixed: bool) -> None:
-        if cost[i] + c < cost[j]:
-            cost[j], back[j] = cost[i] + c, (i, words, fixed)
+    def arc(s: Step) -> None:
+        c = cost[s.i] + s.cost
+        if c < cost[s.j] - 1e-9:
+            cost[s.j], back[s.j] = c, s
 
     for i, token in enumerate(tokens):
-        if cost[i] is math.inf:
-            continue
-        if (i == 0 and skip_first) or (i == n - 1 and skip_last):
-            arc(i, i + 1, 0.0, [token], False)
-            continue
+        if i + 1 < n and i in ends:
+            for s in _over_the_end(i, token, tokens[i + 1], lex):
+                arc(s)
         before, parts, after = pieces(token)
         total, out, fixed = 0.0, [], False
         for p in parts:
@@ -160,56 +227,41 @@ def decode(tokens: list[str], lex: Lexicon, skip_first: bool, skip_last: bool) -
                 out.append(v)
             else:
                 out.append(p)
-        arc(i, i + 1, total, [before + "".join(out) + after], fixed)
+        kept = KEPT_MARK if i in ends and i + 1 < n and _broken(token, tokens[i + 1]) else 0.0
+        arc(Step(i, i + 1, total + kept, [before + "".join(out) + after], bad=(fixed, False)))
         if len(parts) == 1 and _word(parts[0]) and parts[0] not in lex.log:
             w = parts[0]
             for k in range(2, len(w) - 1):  # a lost gap
                 if w[:k] in lex.log and w[k:] in lex.log:
-                    arc(i, i + 1, lex.cost(w[:k]) + lex.cost(w[k:]) + LISTED, [before + w[:k], w[k:] + after], False)
-            if i + 1 < n and not after and not (i + 1 == n - 1 and skip_last):  # a gap too many
+                    arc(Step(i, i + 1, lex.cost(w[:k]) + lex.cost(w[k:]) + LISTED + kept, [before + w[:k], w[k:] + after]))
+            if i + 1 < n and not after and i not in ends:  # a gap too many
                 b2, p2, a2 = pieces(tokens[i + 1])
                 if not b2 and len(p2) == 1 and p2[0].isalpha() and (w + p2[0]) in lex.log and p2[0] not in lex.log:
-                    arc(i, i + 2, lex.cost(w + p2[0]) + LISTED, [before + w + p2[0] + a2], True)
-    words: list[list[str]] = []
-    fixed, j = False, n
+                    arc(Step(i, i + 2, lex.cost(w + p2[0]) + LISTED, [before + w + p2[0] + a2], bad=(True, False)))
+    path, j = [], n
     while j:
-        i, w, f = back[j]
-        words.append(w)
-        fixed, j = fixed or f, i
-    return [x for w in reversed(words) for x in w], fixed
+        s = back[j]
+        path.append(s)
+        j = s.i
+    return path[::-1]
 
 
-def line_end(last: str, following: str, lex: Lexicon) -> tuple[str, str, bool, bool]:
-    """What a marked line end means: (kind, joined word, error in the first part, in the second).
+def read_page(texts: list[str], head: str | None, tail: str | None, lex: Lexicon) -> list[tuple[list[str], bool, bool]]:
+    """(words, last word goes on, misread) of each line of a page, given its neighbours' next and last lines.
 
-    kind is 'word' for a word that goes on, 'compound' for one broken at its own hyphen, '' else.
+    A word that goes on belongs to the line where it begins.
     """
-    if not last or last[-1] not in BREAKS or len(last) < 2 or not following:
-        return "", "", False, False
-    head = _PIECE.match(last.rstrip(BREAKS)).group(2)
-    tail = _PIECE.match(following).group(2)
-    tail_first = re.split(r"[-'’/]", tail)[0]
-    head_last = re.split(r"[-'’/]", head)[-1]
-    if not head_last or not tail_first or not head_last[-1].isalnum() or sum(c.isdigit() for c in head_last) * 2 > len(head_last):
-        return "", "", False, False
-    if not any(c.islower() for c in tail_first) or tail_first[0].isupper():
-        return "", "", False, False
-    joined = head_last + tail_first
-    if head_last[0].isupper():
-        c_join, v_join, f_join = lex.cost(joined.lower()), joined, False
-        whole = f"{head_last}-{tail_first}".lower()
-    else:
-        c_join, v_join, f_join = lex.best(joined)
-        whole = f"{head_last}-{tail_first}"
-    parts = lex.best(tail_first)
-    fixed = f"{lex.best(head_last)[1]}-{parts[1]}".lower()
-    c_whole = min(lex.cost(whole), lex.cost(fixed) + LISTED)
-    if c_whole < c_join:
-        return "compound", whole, lex.best(head_last)[2], parts[2]
-    if not f_join:
-        return "word", v_join, False, False
-    first = v_join.startswith(head_last)
-    return "word", v_join, not first, first or not v_join.endswith(tail_first)
+    lines = [t.split() for t in ([tail] if tail else []) + texts + ([head] if head else [])]
+    of = [k for k, line in enumerate(lines) for _ in line]
+    out: list[tuple[list[str], bool, bool]] = [([], False, False) for _ in lines]
+    for s in decode(lines, lex):
+        k = of[s.i]
+        words, goes_on, bad = out[k]
+        out[k] = (words + s.words, goes_on or s.kind == "word", bad or s.bad[0])
+        if s.bad[1]:
+            words, goes_on, _ = out[of[s.j - 1]]
+            out[of[s.j - 1]] = (words, goes_on, True)
+    return out[1 if tail else 0 :][: len(texts)]
 
 
 _NUMBER = r"(?:[0-9OolI]{1,4}|[ivxlcdm]{1,7}|[IVXLCDM]{1,7})"
@@ -260,7 +312,7 @@ def lexicon(lines: DataFrame, bound: int = LEXICON) -> tuple[list[tuple[str, int
     # the ends of a line may be parts of words
     inner = F.when(F.col("text").rlike(f"[{BREAKS}]$"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))).otherwise(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))))
     words = lines.select(F.explode(inner).alias("t")).select(F.regexp_replace("t", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("w"))
-    words = words.where(F.col("w").rlike(r"^[a-z]{2,30}(-[a-z]+)*('s)?$")).select(F.regexp_replace("w", "'s$", "").alias("w"))
+    words = words.where(F.col("w").rlike(r"^[\p{Ll}\p{Lo}\p{M}]{2,30}(-[\p{Ll}\p{Lo}\p{M}]+)*('s)?$")).select(F.regexp_replace("w", "'s$", "").alias("w"))
     parts = words.where(F.col("w").contains("-")).select(F.explode(F.split("w", "-")).alias("w")).where(F.length("w") > 1)
     counts = words.unionByName(parts).groupBy("w").count()
     rows = counts.orderBy(F.desc("count"), "w").limit(bound).collect()
@@ -268,47 +320,36 @@ def lexicon(lines: DataFrame, bound: int = LEXICON) -> tuple[list[tuple[str, int
 
 
 def _defects(counts: list[tuple[str, int]], total: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(counts, total)
-        for b in batches:
-            ids, kinds = [], []
-            for span, text, prev, nxt in zip(*(b.column(c).to_pylist() for c in ("span_id", "text", "prev_text", "next_text"))):
-                tokens = text.split()
-                end, _, bad_end, _ = line_end(tokens[-1], nxt.split()[0] if nxt else "", lex)
-                start, _, _, bad_start = line_end(prev.split()[-1], tokens[0], lex) if prev else ("", "", False, False)
-                _, fixed = decode(tokens, lex, bool(start), bool(end))
-                if end == "word":
-                    ids.append(span)
-                    kinds.append("split_word")
-                if fixed or (end and bad_end) or (start and bad_start):
-                    ids.append(span)
-                    kinds.append("misread")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string())], names=["span_id", "defect"])
+    made: list[Lexicon] = []
 
-    return run
+    def run(g: pa.RecordBatch) -> list[tuple]:
+        if not made:
+            made.append(Lexicon(counts, total))
+        ids, texts, heads, tails = (g.column(c).to_pylist() for c in ("span_id", "text", "next_head", "prev_tail"))
+        out = []
+        for i, (_, goes_on, bad) in zip(ids, read_page(texts, heads[0], tails[0], made[0])):
+            out += [(i, "split_word")] * goes_on + [(i, "misread")] * bad
+        return out
 
+    return run
 
-def with_neighbours(body: DataFrame) -> DataFrame:
-    """prev_text and next_text of each body line, across page edges too.
 
-    Only lines of running text follow each other; cells beside each other on one height do not.
-    """
-    page = Window.partitionBy("scan_id", "photo").orderBy("y", "x", "span_id")
-    b = body.withColumn("prev_text", F.lag("text").over(page)).withColumn("next_text", F.lead("text").over(page))
-    ends = body.groupBy("scan_id", "photo").agg(F.min_by("text", F.struct("y", "x", "span_id")).alias("head"), F.max_by("text", F.struct("y", "x", "span_id")).alias("tail"))
+def with_page_edges(body: DataFrame) -> DataFrame:
+    """Body lines with the last line of the page before (prev_tail) and the first of the page after (next_head)."""
+    key = F.struct("y", "x", "span_id")
+    ends = body.groupBy("scan_id", "photo").agg(F.min_by("text", key).alias("head"), F.max_by("text", key).alias("tail"))
     heads = ends.select("scan_id", (F.col("photo") - 1).alias("photo"), F.col("head").alias("next_head"))
     tails = ends.select("scan_id", (F.col("photo") + 1).alias("photo"), F.col("tail").alias("prev_tail"))
-    # one row a page: attach page neighbours, then give them to the edge lines only
+    # one row a page: pages meet pages, then lines their page
     edges = ends.select("scan_id", "photo").join(heads, ["scan_id", "photo"], "left").join(tails, ["scan_id", "photo"], "left")
-    b = b.join(edges, ["scan_id", "photo"])
-    return b.withColumn("prev_text", F.coalesce("prev_text", "prev_tail")).withColumn("next_text", F.coalesce("next_text", "next_head")).drop("prev_tail", "next_head")
+    return body.join(edges, ["scan_id", "photo"])
 
 
 def line_defects(spans: DataFrame, scans: DataFrame) -> DataFrame:
     """(span_id, defect): headers, page numbers, split words and misread words of booklets."""
     lines = cut(booklet_lines(spans, scans))
     body = lines.where("zone = 'body'")
-    found = with_neighbours(body).mapInArrow(_defects(*lexicon(body)), "span_id long, defect string")
+    found = by_group(with_page_edges(body), ["scan_id", "photo"], ["y", "x", "span_id"], _defects(*lexicon(body)), "span_id long, defect string")
     return found.unionByName(lines.where("zone <> 'body'").select("span_id", F.col("zone").alias("defect")))
 
 
@@ -342,26 +383,8 @@ def _paragraphs(counts: list[tuple[str, int]], total: int):
             made.append(Lexicon(counts, total))
         lex = made[0]
         scan, photo, x, w, texts, heads, tails = (g.column(c).to_pylist() for c in ("scan_id", "photo", "x", "w", "text", "next_head", "prev_tail"))
-        begins, out = boundaries(list(zip(x, w, texts))), []
-        carry, text = "", ""
-        for i, t in enumerate(texts):
-            tokens = t.split()
-            following = texts[i + 1] if i + 1 < len(texts) else heads[0] or ""
-            kind, joined, _, _ = line_end(tokens[-1], following.split()[0] if following else "", lex)
-            cut_before = i == 0 and bool(tails[0]) and bool(line_end(tails[0].split()[-1], tokens[0], lex)[0])
-            words, _ = decode(tokens, lex, bool(carry) or cut_before, bool(kind))
-            if carry:
-                rest = pieces(tokens[0])
-                words[0] = carry + "".join(rest[1][1:]) + rest[2]
-            elif cut_before:
-                words = words[1:]  # its word was finished on the page before
-            carry = ""
-            if kind:
-                head = pieces(words[-1].rstrip(BREAKS)) if words else ("", [""], "")
-                carry = head[0] + "".join(head[1][:-1]) + joined
-                words = words[:-1]
-                if i + 1 == len(texts):
-                    words.append(carry)
+        begins, out, text = boundaries(list(zip(x, w, texts))), [], ""
+        for i, (words, _, _) in enumerate(read_page(texts, heads[0], tails[0], lex)):
             if begins[i] and text:
                 out.append(text)
                 text = ""
@@ -397,10 +420,7 @@ def paragraphs(spans: DataFrame, scans: DataFrame) -> DataFrame:
     lines = cut(booklet_lines(spans, scans))
     body = lines.where("zone = 'body'")
     counts = lexicon(body)
-    ends = body.groupBy("scan_id", "photo").agg(F.min_by("text", F.struct("y", "x", "span_id")).alias("head"), F.max_by("text", F.struct("y", "x", "span_id")).alias("tail"))
-    heads = ends.select("scan_id", (F.col("photo") - 1).alias("photo"), F.col("head").alias("next_head"))
-    tails = ends.select("scan_id", (F.col("photo") + 1).alias("photo"), F.col("tail").alias("prev_tail"))
-    rows = body.join(heads, ["scan_id", "photo"], "left").join(tails, ["scan_id", "photo"], "left")
+    rows = with_page_edges(body)
     pieces_ = by_group(rows, ["scan_id", "photo"], ["y", "x", "span_id"], _paragraphs(*counts), "scan_id string, photo int, pos int, continues boolean, text string")
     pieces_ = cut(pieces_)
     key = F.struct("photo", "pos")

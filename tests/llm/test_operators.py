@@ -274,10 +274,31 @@ def test_lexicon_corrects_only_to_commoner_words():
     assert lex.best("cartori")[1:] == ("carton", True) and lex.best("corncr")[1:] == ("corner", True) and lex.best("tile")[1:] == ("tile", False) and lex.best("modem")[1:] == ("modern", True)
 
 
-@pytest.mark.parametrize("last,following,kind", [("tamper-", "evident,", "compound"), ("mea-", "surement", "word"), ("re¬", "count", "word"), ("plain", "text", ""), ("BH8760-", "2", ""), ("-", "x", "")])
+@pytest.mark.parametrize("last,following,kind", [("tamper-", "evident,", "compound"), ("mea-", "surement", "word"), ("re¬", "count", "word"), ("plain", "text", ""), ("BH8760-", "2", ""), ("-", "x", ""), ("mea", "surement", "word"), ("carton", "file", "")])
 def test_line_ends(last, following, kind):
-    lex = scanned.Lexicon([("tamper-evident", 40), ("tamper", 40), ("evident", 40), ("measurement", 50), ("recount", 9)], 1000)
-    assert scanned.line_end(last, following, lex)[0] == kind
+    lex = scanned.Lexicon([("tamper-evident", 40), ("tamper", 40), ("evident", 40), ("measurement", 50), ("recount", 9), ("carton", 9), ("file", 9)], 1000)
+    assert [s.kind for s in scanned.decode([["the", last], [following, "end"]], lex) if s.kind] == ([kind] if kind else [])
+
+
+def test_the_stream_decides_jointly():
+    """A cut word that was misread as well, a lost gap and a gap too many, over three lines and two page edges."""
+    lex = scanned.Lexicon([(w, 500) for w in "the outer carton holds sample measured under cold light".split()], 5000)
+    got = scanned.read_page(["outer carfon ho", "lds the sam ple mea-", "surcd undercold"], "light the", "the cold", lex)
+    assert [" ".join(w) for w, _, _ in got] == ["outer carton holds", "the sample measured", "under cold"]
+    assert [g for _, g, _ in got] == [True, True, False] and [b for _, _, b in got] == [True, True, True]
+
+
+def test_defects_need_the_lattice(spark, monkeypatch):
+    """With words read one by one no word goes on over a line's end."""
+    lex = scanned.Lexicon([("measured", 50), ("the", 90)], 1000)
+    assert scanned.read_page(["the mea-", "sured the"], None, None, lex)[0][1]
+    monkeypatch.setattr(scanned, "_over_the_end", lambda *a: iter(()))
+    assert not scanned.read_page(["the mea-", "sured the"], None, None, lex)[0][1]
+
+
+def test_words_of_other_scripts_are_corrected():
+    lex = scanned.Lexicon([("паровоз", 900), ("étiquette", 900)], 3000)
+    assert lex.best("паравоз")[1] == "паровоз" and lex.best("etiquette")[1] == "étiquette"
 
 
 @pytest.mark.parametrize("t,ok", [("Page 3 of 12", True), ("- 7 -", True), ("xiv", True), ("[12]", True), ("p. 4", True), ("FIELD NOTES", False), ("12 packs", False), ("Notes | 3", False)])
