@@ -426,3 +426,18 @@ def test_abbreviations_name_the_same_things(spark):
     words = spark.createDataFrame([("", w, n) for w, n in [("powder", 50), ("pwd", 9), ("pod", 9), ("noodles", 30), ("nood", 4), ("cream", 20), ("crm", 3)]], "scope string, w string, n long")
     things = spark.createDataFrame([("", w, t, 1) for w, t in [("powder", 1), ("powder", 2), ("pwd", 1), ("pwd", 2), ("pod", 7), ("noodles", 3), ("nood", 3), ("cream", 4), ("crm", 4)]], "scope string, w string, thing long, n long")
     assert {(r.w, r.c) for r in names.abbreviations(words, things).collect()} == {("pwd", "powder"), ("nood", "noodles"), ("crm", "cream")}
+
+
+def test_shortened_words_are_learned(spark):
+    goods = ["Rose Powder"] * 4 + ["Rose Powder", "Mint Powder", "Rose Pwdr", "Mint Pwd", "Rose Pwd", "Fresh Powder", "Fresh Pwd"] * 3 + ["Rose Pod", "Rose Soap", "Rose Soap", "Mint Soap"] * 3
+    keys = spark.createDataFrame([(i, "Zatebeke", g) for i, g in enumerate(goods)], "key_id long, brand string, common_name string")
+    ids = {r.key_id: r.goods_id for r in names.linked_names(keys).collect()}
+    of = {g: {ids[i] for i, x in enumerate(goods) if x == g} for g in goods}
+    assert of["Rose Powder"] == of["Rose Pwdr"] == of["Rose Pwd"] and of["Mint Powder"] == of["Mint Pwd"] and len(of["Rose Powder"]) == 1
+    assert of["Rose Powder"] != of["Mint Powder"] and of["Rose Powder"] != of["Rose Soap"]
+
+
+@pytest.mark.parametrize("w,kind", [("bev", "business"), ("trdg", "business"), ("co", "business"), ("ent", "business"), ("industr", "business"), ("pvt", "legal"), ("ltd", "legal"), ("bob", "given"), ("zatebeke", None), ("kukuvayo", None), ("zub", None)])
+def test_words_of_firms(w, kind):
+    k = names._firm_word(w, names._LISTS, names._LONG)
+    assert (k and k[0]) == kind
