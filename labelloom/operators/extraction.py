@@ -7,10 +7,11 @@ read alike, so that the same text serves the SQL twin.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NUM = r"([0-9]+(?:[.][0-9]{1,2})?)"
+NUM = r"([0-9]+(?:,[0-9]{2,3})*(?:[.][0-9]{1,3})?)"
 #: field: (pattern on the lower-case line, group of the value)
 FIELDS: dict[str, tuple[str, int]] = {
     "retail_sale_price": (rf"(?:m[.]?r[.]?p[.]?|max(?:imum)? retail price)[ :]*(?:rs[.]?|inr|₹)? *{NUM}", 1),
@@ -19,9 +20,9 @@ FIELDS: dict[str, tuple[str, int]] = {
     "unit_sale_price": (rf"(?:unit (?:sale )?price|usp)[ :]*(?:rs[.]?|₹)? *{NUM}", 1),
     "manufacture_date": (r"(?:mfg|mfd|pkd|packed on|date of (?:mfg|packing))[^0-9]{0,12}([0-9]{1,2}/[0-9]{4})", 1),
     "shelf_months": (r"best before ([0-9]{1,3}) months", 1),
-    "manufacturer_details": (r"(?:mfd|mfg|manufactured|packed|marketed|imported)[.]? by[ :]*(.{6,160})", 1),
-    "consumer_care": (r"(?:consumer|customer)? ?care[ :]+(.{6,160})", 1),
-    "country_of_origin": (r"(?:country of origin|made in)[ :]*([a-z ]{2,40})", 1),
+    "manufacturer_details": (r"(?:mfd|mfg|manufactured|packed|marketed|imported)[.]? by[ :]*(.{6,})", 1),
+    "consumer_care": (r"(?:consumer|customer) ?(?:care|service|support|helpline)[ :]+(.{6,})", 1),
+    "country_of_origin": (r"(?:country of origin[ :]*|(?:^|[^a-z])made in )([a-z]{2,}(?: [a-z]+){0,4})", 1),
     "batch": (r"(?:batch|lot) no[.:]* *([a-z0-9/-]{3,20})", 1),
 }
 
@@ -45,7 +46,7 @@ def pivoted(fields: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key with a typed column per field; absent fields are null."""
     out = fields.groupBy(*keys).pivot("field", list(FIELDS)).agg(F.first("value"))
     for c in ("retail_sale_price", "net_quantity", "unit_sale_price"):
-        out = out.withColumn(c, F.col(c).try_cast("double"))
+        out = out.withColumn(c, F.regexp_replace(c, ",", "").try_cast("double"))
     return out.withColumn("shelf_months", F.col("shelf_months").try_cast("int"))
 
 
@@ -109,3 +110,42 @@ def category(c: Column, whole_words: bool) -> Column:
     found = best["score"] > 0
     confidence = F.when(found, F.least(F.lit(1.0), F.greatest(F.lit(1), F.floor(best["score"] / 6)) / 3)).otherwise(0.2)
     return F.struct(F.when(found, best["category"]).otherwise("other").alias("category"), best["score"].alias("score"), confidence.alias("confidence"))
+
+
+# Phrases of lines that belong to something else, by field.
+DISQUALIFYING = {
+    "retail_sale_price": ["unit sale price", "unit price", "per unit", "per 100", "special price", "our price", "offer", "deal price", "discount", "cashback", "you pay", "you save", "selling price"],
+    "unit_sale_price": ["maximum retail price", "m.r.p", "mrp"],
+    "net_quantity": ["serving size", "per serve", "per 100 g", "per 100 ml", "manufactured", "mfg", "packed on", "expiry", "best before", "use by", "batch", "model"],
+}
+
+
+def disqualified(field: str, c: Column) -> Column:
+    """The line speaks of something else than the field: no unlabelled value is taken from it."""
+    low = F.lower(c)
+    hit = F.lit(False)
+    for phrase in DISQUALIFYING.get(field, []):
+        hit = hit | F.contains(low, F.lit(phrase))
+    return hit | low.rlike("(^|[^a-z])(off|save)($|[^a-z])") if field == "retail_sale_price" else hit
+
+
+def dates_in(c: Column) -> Column:
+    """array of struct(year, month, day, token): the dates of a text in order, each once, in any of three forms."""
+    @F.pandas_udf("array<struct<year:int,month:int,day:int,token:string>>")
+    def udf(s: pd.Series) -> pd.Series:
+        from labelloom.operators import declarations
+
+        known = {t: [dict(zip(("year", "month", "day", "token"), x)) for x in declarations.dates_in(t)] for t in s.dropna().unique()}
+        return s.map(lambda t: known.get(t, []))
+
+    return udf(c)
+
+
+def context_flags(c: Column, imported: Column) -> list[Column]:
+    """wholesale, imported, special_use and gm of a pack or listing, from its text and what its source says."""
+    low = F.lower(c)
+    said = lambda *phrases: F.greatest(*(F.contains(low, F.lit(p)) for p in phrases))
+    return [
+        said("wholesale", "not for retail").alias("wholesale"), (low.rlike("(^|[^a-z])import(ed|er|s)?($|[^a-z])") | F.coalesce(imported, F.lit(False))).alias("imported"),
+        said("institutional", "industrial use", "for export").alias("special_use"), (F.contains(low, F.lit("genetically modified")) | low.rlike("(^|[^a-z])gmo?($|[^a-z])")).alias("gm"),
+    ]

@@ -3,7 +3,8 @@
 One depth-first visit of each payload emits tagged rows: table tag, key, parent key and the
 record itself as JSON. The tagged rows are the single intermediate: they can be written
 partitioned by tag (:func:`write_tagged`) and every flat table is a filter on the tag plus a
-schema (:func:`typed_table`), so a payload is parsed once however many tables are wanted.
+schema (:func:`typed_table`), so a payload is parsed once for all tables that are read from one
+such write; a query for a single table has the visitor emit that tag only.
 
 Defined results
     * of several rows with one scan_id the one with the greatest ``ingested_at`` counts (null
@@ -95,7 +96,7 @@ def _text(record) -> str:
     return s.encode("utf-8", "replace").decode("utf-8")
 
 
-def _emit(with_record: bool):
+def _emit(with_record: bool, tags: frozenset[str] | None = None):
     schema = pa.schema(
         [("scan_id", pa.string()), ("child", pa.string()), ("parent_child", pa.string()), ("parent_pos", pa.int32()), ("pos", pa.int32()), ("record", pa.string())]
     )
@@ -109,6 +110,8 @@ def _emit(with_record: bool):
                 if doc is None:
                     continue
                 for tag, parent, parent_pos, pos, record in visit(doc):
+                    if tags is not None and tag not in tags:
+                        continue
                     row = (scan_id, tag, parent, parent_pos, pos, _text(record) if with_record else None)
                     for column, v in zip(out, row):
                         column.append(v)
@@ -136,9 +139,9 @@ def latest_scans(scans: DataFrame) -> DataFrame:
     )
 
 
-def flatten_payloads(scans: DataFrame, with_record: bool = True) -> DataFrame:
-    """All child records of the last version of each scan as tagged rows (see ``TAGGED``)."""
-    return latest_scans(scans).mapInArrow(_emit(with_record), TAGGED)
+def flatten_payloads(scans: DataFrame, with_record: bool = True, tags: list[str] | None = None) -> DataFrame:
+    """Child records of the last version of each scan as tagged rows (see ``TAGGED``); with ``tags`` only those, others are not serialised."""
+    return latest_scans(scans).mapInArrow(_emit(with_record, frozenset(tags) if tags else None), TAGGED)
 
 
 def write_tagged(tagged: DataFrame, path: str) -> None:
@@ -156,18 +159,33 @@ def typed_table(tagged: DataFrame, tag: str) -> DataFrame:
     return rows.select(*keys, rec.alias("r")).select(*keys, "r.*")
 
 
+#: The root record's fields with what an old writer that lacks them means.
+ROOT = "product_name string, verdict string, category string, barcode string, quality string, coverage_complete boolean, n_photos int, ocr_stats struct<photos:string>, declarations string, findings string, spans string"
+
+
+def scan_roots(scans: DataFrame) -> DataFrame:
+    """(scan_id, product_name, verdict, barcode, coverage_complete, n_declarations, n_findings, n_spans): one row a scan whose payload is an object.
+
+    Missing keys get defaults: an empty name is null, coverage is incomplete, absent lists are empty.
+    """
+    p = latest_scans(scans).where("payload is not null").withColumn("payload", F.when(F.col("payload").startswith('"'), F.from_json(F.concat(F.lit('{"x":'), "payload", F.lit("}")), "x string")["x"]).otherwise(F.col("payload")))
+    r = p.where(F.trim("payload").startswith("{")).select("scan_id", F.from_json("payload", ROOT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.try_parse_json("payload").isNotNull().alias("ok")).where("ok")
+    size = lambda c: F.coalesce(F.json_array_length(f"r.{c}"), F.when(F.col(f"r.{c}").isNotNull(), 1), F.lit(0))
+    return r.select("scan_id", F.nullif(F.trim("r.product_name"), F.lit("")).alias("product_name"), "r.verdict", "r.barcode", F.coalesce("r.coverage_complete", F.lit(False)).alias("coverage_complete"), size("declarations").alias("n_declarations"), size("findings").alias("n_findings"), size("spans").alias("n_spans"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten_payloads(table(spark, sf_dir, "scans"), with_record=False).select("scan_id", "child", "parent_pos", "pos")
 
 
 def _typed(tag: str):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return typed_table(flatten_payloads(table(spark, sf_dir, "scans")), tag)
+        return typed_table(flatten_payloads(table(spark, sf_dir, "scans"), tags=[tag]), tag)
 
     return q
 
 
-QUERIES = {"p4_found": p4_found} | {f"p4_{t}s": _typed(t) for t in [*SCHEMAS, "note", "package_photo"] if t != "ocr_pass"} | {"p4_ocr_passes": _typed("ocr_pass")}
+QUERIES = {"p4_found": p4_found} | {f"p4_{t}s": _typed(t) for t in [*SCHEMAS, "note", "package_photo"] if t != "ocr_pass"} | {"p4_ocr_passes": _typed("ocr_pass"), "p4_scans": lambda spark, d: scan_roots(table(spark, d, "scans"))}
 
 
 def _elements_sql(x: str) -> str:

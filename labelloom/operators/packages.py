@@ -21,9 +21,14 @@ def stacked(spans: DataFrame, gap: float = 80.0) -> DataFrame:
 
 
 def best_readings(rows: DataFrame, keys: list[str], value: str, confidence: str, order: list[str], doubtful=None) -> DataFrame:
-    """The best row per key: not doubtful, with a value, the surest; the first in ``order`` of equals."""
-    rank = [F.coalesce(doubtful if doubtful is not None else F.lit(False), F.lit(False)).asc(), F.col(value).isNull().asc(), F.coalesce(F.col(confidence), F.lit(-1.0)).desc(), *order]
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*rank))).where("_rn = 1").drop("_rn")
+    """The best row per key: not doubtful, with a value, the surest; the first in ``order`` of equals.
+
+    A partial aggregate of the least rank, so a key with very many rows is no hot task.
+    """
+    rank = F.struct(F.coalesce(doubtful if doubtful is not None else F.lit(False), F.lit(False)).alias("a"), F.col(value).isNull().alias("b"), (-F.coalesce(confidence, F.lit(-1.0))).alias("c"), *order)
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_m"))
+    return best.select(*keys, *(F.col("_m")[c].alias(c) for c in rest))
 
 
 def identity_conflicts(keys: DataFrame) -> DataFrame:
@@ -63,3 +68,29 @@ def differing_values(rows: DataFrame, keys: list[str], value: str, ident: str) -
 def valid_codes(keys: DataFrame) -> DataFrame:
     """(key_id, barcode, valid) of rows with a barcode."""
     return keys.where("barcode is not null").select("key_id", "barcode", gtin_valid(F.col("barcode")).alias("valid"))
+
+
+def product_label(identity: DataFrame, keys: DataFrame) -> DataFrame:
+    """(identity, label): what people call a product: brand, name, content and unit of its least typed form."""
+    q = F.when(F.isnan("net_quantity"), None).otherwise(F.floor(F.col("net_quantity") * 1000 + 0.5).cast("long"))
+    words = F.concat_ws(" ", "brand", "common_name", q.cast("string"), F.lower(F.trim("unit")))
+    return identity.join(keys, "key_id").groupBy("identity").agg(F.min(words).alias("label"))
+
+
+def price_findings(rows: DataFrame, keys: list[str], value: str, ident: str, sure) -> DataFrame:
+    """(keys, prices, n_rows, confidence): products with more than one price, as 'price x rows' in order.
+
+    Prices at two decimals are counted per product first; 0.9 where the identity is sure, else 0.55.
+    """
+    v = F.floor(F.col(value) * 100 + 0.5).cast("long")
+    per = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, v.alias("cents")).agg(F.countDistinct(ident).alias("k"))
+    out = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cents", "k"))).alias("p"), F.sum("k").alias("n_rows")).where(F.size("p") > 1)
+    listed = F.array_join(F.transform("p", lambda x: F.concat(x["cents"].cast("string"), F.lit(" x "), x["k"].cast("string"))), ", ")
+    return out.select(*keys, listed.alias("prices"), "n_rows", F.when(sure, 0.9).otherwise(0.55).alias("confidence"))
+
+
+def fullest_photo(rows: DataFrame, keys: list[str], photo: str, present) -> DataFrame:
+    """(keys, photo, n_present): the photo with most present fields, the first of equals; a pack's context comes from it."""
+    n = rows.groupBy(*keys, photo).agg(F.count_if(present).alias("n_present"))
+    best = n.groupBy(*keys).agg(F.min(F.struct((-F.col("n_present")).alias("m"), photo)).alias("b"))
+    return best.select(*keys, F.col("b")[photo].alias(photo), (-F.col("b.m")).alias("n_present"))

@@ -11,16 +11,20 @@ from labelloom.functions import geometry, text
 def completed(found: DataFrame, second: DataFrame, keys: list[str], seen: DataFrame | None = None) -> DataFrame:
     """(keys, value, confidence, source): found values, and where one lacks the second reader's.
 
-    found: (keys, value, confidence); second: (keys, value). With ``seen`` (keys[0], text: all the
-    text of an item) a second reading that stands in the text is confirmed (0.7, 'second+first'),
+    found: (keys, value, confidence); second: (keys, value). With ``seen`` (keys[0], text: the lines
+    of an item) a second reading that stands in a line is confirmed (0.7, 'second+first'),
     else it is held (0.45, 'second').
     """
     f = found.where("value is not null").select(*keys, "value", "confidence", F.lit("first").alias("source"))
     s = second.where("value is not null").join(f.select(*keys), keys, "left_anti")
     agreed = F.lit(False)
     if seen is not None:
-        s = s.join(seen.select(keys[0], F.col("text").alias("_seen")), keys[0], "left")
-        agreed = F.coalesce(F.contains(text.name_key(F.col("_seen")), text.name_key(F.col("value"))) & (text.name_key(F.col("value")) != ""), F.lit(False))
+        # each line of an item is asked for the value, and the answers meet in a partial aggregate
+        key = text.name_key(F.col("value"))
+        said = s.join(seen.select(keys[0], F.col("text").alias("_seen")), keys[0])
+        hit = said.groupBy(*keys).agg(F.bool_or(F.contains(text.name_key(F.col("_seen")), key) & (key != "")).alias("_hit"))
+        s = s.join(hit, keys, "left")
+        agreed = F.coalesce("_hit", F.lit(False))
     s = s.select(*keys, "value", F.when(agreed, 0.7).otherwise(0.45).alias("confidence"), F.when(agreed, "second+first").otherwise("second").alias("source"))
     return f.unionByName(s)
 

@@ -133,8 +133,9 @@ def c_anchor_fuzzy(spark, d):
 @query()
 def c_address_repair(spark, d):
     """Address lines with damaged words put right against the words of all address lines."""
-    lines = spans_(spark, d).where(F.lower("text").contains("mfd by")).select("span_id", "text")
-    fixed = lines.withColumn("r", fuzzy.repaired(F.col("text"), ["industries", "products", "enterprises", "foods", "beverages", "plot", "limited", "private", "company", "trading", "organics", "naturals", "wellness", "laboratories"]))
+    lines = spans_(spark, d).where("text is not null").select("span_id", "text").where(fuzzy.is_address(F.col("text")))
+    words = fuzzy.common_words(lines, "text")
+    fixed = lines.withColumn("r", fuzzy.repaired(F.col("text"), words))
     return fixed.select("span_id", F.col("r.text").alias("text"), F.size("r.fixes").alias("n_fixes"))
 
 
@@ -172,20 +173,20 @@ def d_lines(spark, d):
 
 
 @query(f"""WITH s AS (SELECT span_id, scan_id, {_ZERO} FROM {LAST_SPANS}), p AS (SELECT a.span_id, b.span_id neighbour_id, b.x-a.x-a.w gap FROM s a JOIN s b ON a.scan_id=b.scan_id AND a.photo=b.photo AND a.span_id<>b.span_id
- WHERE a.h<=80 AND b.h<=80 AND abs(a.y+a.h/2-b.y-b.h/2) <= 0.5*a.h AND b.x>=a.x+a.w AND b.x-a.x-a.w<=400)
+ WHERE a.h>=0 AND abs(a.y+a.h/2-b.y-b.h/2) <= 0.5*a.h AND b.x>=a.x+a.w AND b.x-a.x-a.w<=400)
 SELECT span_id, neighbour_id, floor(gap*1000+0.5)/1000 AS gap, rank FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY gap, neighbour_id) rank FROM p) WHERE rank<=1""")
 def d_right_of(spark, d):
     return layout.right_neighbours(spans_(spark, d)).withColumn("gap", F.floor(F.col("gap") * 1000 + 0.5) / 1000)
 
 
 @query(f"""WITH s AS (SELECT span_id, scan_id, {_ZERO} FROM {LAST_SPANS}), p AS (SELECT a.span_id, b.span_id below_id, b.y-a.y-a.h gap FROM s a JOIN s b ON a.scan_id=b.scan_id AND a.photo=b.photo AND a.span_id<>b.span_id
- WHERE a.h BETWEEN 1 AND 40 AND b.h BETWEEN 1 AND 40 AND b.y>=a.y+a.h-0.5*a.h AND b.y-a.y-a.h<=1.2*a.h AND (abs(a.x-b.x)<=1.5*a.h OR least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x)>=0.5*least(a.w,b.w)))
+ WHERE a.h>=1 AND b.h>=1 AND b.y>=a.y+a.h-0.5*a.h AND b.y-a.y-a.h<=1.2*a.h AND (abs(a.x-b.x)<=1.5*a.h OR least(a.x+a.w,b.x+b.w)-greatest(a.x,b.x)>=0.5*least(a.w,b.w)))
 SELECT span_id, below_id FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY gap, below_id) rn FROM p) WHERE rn=1""")
 def d_below(spark, d):
     return layout.below_neighbours(spans_(spark, d)).select("span_id", "below_id")
 
 
-@query(f"""WITH s AS (SELECT span_id, scan_id, {_ZERO} FROM {LAST_SPANS} WHERE coalesce(h,0)<=80)
+@query(f"""WITH s AS (SELECT span_id, scan_id, {_ZERO} FROM {LAST_SPANS})
 SELECT a.span_id, floor(min(CASE WHEN b.x+b.w<=a.x THEN a.x-b.x-b.w END)*1000+0.5)/1000 AS gap_left, floor(min(CASE WHEN b.x>=a.x+a.w THEN b.x-a.x-a.w END)*1000+0.5)/1000 AS gap_right
 FROM s a LEFT JOIN s b ON a.scan_id=b.scan_id AND a.photo=b.photo AND a.span_id<>b.span_id AND b.y<a.y+a.h AND b.y+b.h>a.y GROUP BY 1""")
 def d_side_gaps(spark, d):
@@ -306,11 +307,6 @@ def k_identity(spark, d):
     return packages.product_identity(table(spark, d, "product_keys"))
 
 
-@query("""SELECT p_brand, p_type, p_size, count(*) AS n_values, min(v) AS lo, max(v) AS hi, CAST(sum(k) AS BIGINT) AS n_rows FROM (SELECT p_brand, p_type, p_size, floor(p_retailprice*100+0.5)/100 v, count(p_partkey) k FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1,2,3,4) GROUP BY 1,2,3 HAVING count(*)>1""")
-def k_differing_values(spark, d):
-    return packages.differing_values(table(spark, d, "part"), ["p_brand", "p_type", "p_size"], "p_retailprice", "p_partkey")
-
-
 # ---- repository -------------------------------------------------------------------------
 
 
@@ -422,10 +418,10 @@ def m_abstention(spark, d):
     return r.select("n", (F.floor(F.col("a") * 10000 + 0.5) / 10000).alias("abstained"))
 
 
-@query(f"""WITH t AS (SELECT listing_id, price, try_cast(regexp_extract(lower(text), '{extraction.FIELDS['retail_sale_price'][0]}', 1) AS DOUBLE) v FROM {LAST_LISTINGS})
+@query(f"""WITH t AS (SELECT listing_id, price, try_cast(replace(regexp_extract(lower(text), '{extraction.FIELDS['retail_sale_price'][0]}', 1), ',', '') AS DOUBLE) v FROM {LAST_LISTINGS})
 SELECT count(*) AS n, floor(avg(abs(v-price))*10000+0.5)/10000 AS mae, max(abs(v-price)) AS worst, floor(avg(CASE WHEN abs(v-price)<=0.5 THEN 1.0 ELSE 0 END)*10000+0.5)/10000 AS within FROM t WHERE v IS NOT NULL AND price IS NOT NULL AND NOT isnan(price)""")
 def m_measurement(spark, d):
-    v = F.regexp_extract(F.lower("text"), *extraction.FIELDS["retail_sale_price"]).try_cast("double")
+    v = F.regexp_replace(F.regexp_extract(F.lower("text"), *extraction.FIELDS["retail_sale_price"]), ",", "").try_cast("double")
     rows = listings_(spark, d).where("not isnan(price)").select("price", v.alias("v"))
     r = lambda c: (F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c)
     return metrics.measurement_errors(rows, "v", "price", 0.5).select("n", r("mae"), "worst", r("within"))
@@ -466,7 +462,7 @@ def b_crops(spark, d):
     return sinks.crops(findings, "evidence_bbox", F.lit(1200.0), F.lit(1600.0))
 
 
-@query(f"""WITH s AS (SELECT span_id, scan_id, {_ZERO} FROM {LAST_SPANS} WHERE coalesce(w,0)<=2000)
+@query(f"""WITH s AS (SELECT span_id, scan_id, {_ZERO} FROM {LAST_SPANS})
 SELECT a.span_id, floor(min(CASE WHEN b.y+b.h<=a.y THEN a.y-b.y-b.h END)*1000+0.5)/1000 AS gap_top, floor(min(CASE WHEN b.y>=a.y+a.h THEN b.y-a.y-a.h END)*1000+0.5)/1000 AS gap_bottom
 FROM s a LEFT JOIN s b ON a.scan_id=b.scan_id AND a.photo=b.photo AND a.span_id<>b.span_id AND b.x<a.x+a.w AND b.x+b.w>a.x GROUP BY 1""")
 def d_vertical_gaps(spark, d):
@@ -484,19 +480,19 @@ def c_bare_labels(spark, d):
 
 
 @query(f"""WITH k AS (SELECT scan_id, common_name v FROM (SELECT scan_id, common_name, row_number() OVER (PARTITION BY scan_id ORDER BY key_id) rn FROM product_keys WHERE scan_id IS NOT NULL AND common_name IS NOT NULL) WHERE rn=1),
- f AS (SELECT scan_id, product_name v FROM {LAST_SCANS} WHERE product_name IS NOT NULL), t AS (SELECT scan_id, string_agg(text, ' ' ORDER BY span_id) t FROM {LAST_SPANS} WHERE text IS NOT NULL GROUP BY 1)
+ f AS (SELECT scan_id, product_name v FROM {LAST_SCANS} WHERE product_name IS NOT NULL), t AS (SELECT scan_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') t FROM {LAST_SPANS} WHERE text IS NOT NULL)
 SELECT scan_id, v AS value, 0.9::DOUBLE AS confidence, 'first' AS source FROM f UNION ALL
-SELECT scan_id, v, CASE WHEN a THEN 0.7::DOUBLE ELSE 0.45::DOUBLE END, CASE WHEN a THEN 'second+first' ELSE 'second' END FROM (SELECT k.scan_id, v, coalesce(contains(regexp_replace(lower(coalesce(t,'')), '[^a-z0-9]+', '', 'g'), regexp_replace(lower(v), '[^a-z0-9]+', '', 'g')), false) AND regexp_replace(lower(v), '[^a-z0-9]+', '', 'g') <> '' a
- FROM k LEFT JOIN t USING (scan_id) WHERE k.scan_id NOT IN (SELECT scan_id FROM f))""")
+SELECT scan_id, v, CASE WHEN a THEN 0.7::DOUBLE ELSE 0.45::DOUBLE END, CASE WHEN a THEN 'second+first' ELSE 'second' END FROM (SELECT k.scan_id, v, coalesce(bool_or(contains(t, regexp_replace(lower(v), '[^a-z0-9]+', '', 'g')) AND regexp_replace(lower(v), '[^a-z0-9]+', '', 'g') <> ''), false) a
+ FROM k LEFT JOIN t USING (scan_id) WHERE k.scan_id NOT IN (SELECT scan_id FROM f) GROUP BY 1, 2)""")
 def e_completed_names(spark, d):
     from labelloom.operators import recovery
 
     found = scans_(spark, d).select("scan_id", F.col("product_name").alias("value"), F.lit(0.9).alias("confidence"))
     keys = table(spark, d, "product_keys").where("scan_id is not null and common_name is not null")
     second = keys.groupBy("scan_id").agg(F.min_by("common_name", "key_id").alias("value"))
-    # the text of an item whose name is missing; items with one need no text
+    # lines of items whose name is missing; items with one need none
     need = second.join(found.where("value is not null"), "scan_id", "left_anti").select("scan_id")
-    seen = spans_(spark, d).where("text is not null").join(need, "scan_id", "left_semi").groupBy("scan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    seen = spans_(spark, d).where("text is not null").join(need, "scan_id", "left_semi").select("scan_id", "text")
     return recovery.completed(found, second, ["scan_id"], seen)
 
 

@@ -36,10 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder all executors share.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, a single machine) a folder of our own is set.
+    is unset and the master is this machine (tests) a folder of our own is set. On a cluster without
+    it this fails, as a folder of one machine is not shared.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="labelloom-checkpoint-"))
     return df.checkpoint(eager=True)

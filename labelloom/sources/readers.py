@@ -20,7 +20,7 @@ def recogniser_dumps(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     schema is fixed, missing keys are null, files that are no JSON give no rows.
     """
     raw = spark.read.schema(DUMP + ", _corrupt_record string").options(multiLine=True, mode="PERMISSIVE", encoding=encoding).json(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), "^([^.]+)", 1)
+    name = F.regexp_replace(F.col("_metadata.file_name"), "([.](paddle|lines))?[.]json$", "")
     rows = raw.select(name.alias("name"), F.posexplode("regions").alias("region_no", "r"))
     b = geometry.polygon_box(F.col("r.poly"))
     spans = rows.select("name", "region_no", visible(F.col("r.text")).alias("text"), b.alias("b"), F.col("r.score").alias("confidence"), F.col("r.engine").alias("source_engine"), F.col("r.language").alias("lang"), "r.vertical", geometry.polygon_angle(F.col("r.poly")).alias("angle"))

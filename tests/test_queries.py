@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from labelloom.plans import queries as core
+from labelloom.plans import catalogue as core
 
 D = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
