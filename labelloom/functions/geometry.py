@@ -89,3 +89,20 @@ def known_scale(px: Column, mm: Column, err_mm: Column) -> Column:
     """Scale from a known dimension: px per mm and its standard error."""
     s = px / mm
     return F.when((px > 0) & (mm > 0), F.struct(s.alias("px_per_mm"), (s * err_mm / mm).alias("sigma")))
+
+
+def agreed_scale(scales: Column, spread: float = 0.15) -> Column:
+    """One scale from several stated references (an array of px per mm): their mean, null where they differ by more than ``spread``."""
+    known = F.filter(scales, lambda x: x.isNotNull() & (x > 0))
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
+    return F.when((F.size(known) > 0) & ((F.array_max(known) - F.array_min(known)) <= spread * mean), mean)
+
+
+def glyph_height(px: Column, px_per_mm: Column) -> Column:
+    """struct(mm, uncertainty) of a glyph's height at a scale; half a pixel is the least uncertainty."""
+    return F.when((px_per_mm > 0) & px.isNotNull(), F.struct((px / px_per_mm).alias("mm"), (F.lit(0.5) / px_per_mm).alias("uncertainty")))
+
+
+def covers(overlay: Column, b: Column) -> Column:
+    """A pasted rectangle holds a box (with 6 pixels to spare) or overlaps it by more than 0.3."""
+    return contains(overlay, b, 6.0) | (iou(overlay, b) > 0.3)

@@ -16,7 +16,9 @@ present = false where nothing was found; texts are never cut; a label without a
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,7 +69,7 @@ _UNIT = "|".join(sorted((re.escape(u) for u in UNITS), key=len, reverse=True))
 _END = r"(?![A-Za-zऀ-ॿ])"
 AMOUNT = re.compile(rf"^[\s:;.\-–(₹]*(?:(?:rs|inr|re|रु|रू)\b[.:]?\s*|₹\s*|[^\w\s]\s*|[A-Za-z](?=\d+\.\d\d))?[:\s]*({_NUMBER})(?P<more>.{{0,14}})", re.I | re.S)
 QUANTITY = re.compile(rf"(?<![\d.,])(?:(\d{{1,3}})\s*[x×*]\s*)?({_NUMBER})\s*({_UNIT}){_END}\.?(?:\s*[x×*]\s*(\d{{1,3}})\b)?", re.I)
-RATE = re.compile(rf"(?<![\dOo][.\s])(?<![\d.])({_NUMBER})\s*(?:/|per|प्रति)\s*(?:\d+\s*)?({_UNIT}|unit|(?<=\.\d\d/)[96q&](?![\d.])){_END}", re.I)
+RATE = re.compile(rf"(?<!\d)(?<![\dOo][.\s])({_NUMBER})\s*(?:/|per|प्रति)\s*(?:\d+\s*)?({_UNIT}|unit|(?<=\.\d\d/)[96q&](?![\d.])){_END}", re.I)
 BARE_RATE = re.compile(r"^[\s:.(-]*(?:(?:rs\.?|₹|\W)\s*)?(\d+\.\d{2,3})(?!\d|\s*\d)", re.I)
 PRICE_CELL = re.compile(rf"\W*(?:(?:rs\.?|₹|inr)\W*(?:{_NUMBER})|\d+(?:,\d{{2,3}})*\.\d{{2}}|(?:{_NUMBER})\s*/-)\s*(?:/-)?\W*(?:\(.*)?", re.I)
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
@@ -90,11 +92,21 @@ _PHRASES = sorted(((p, f) for f, ps in LABELS.items() for p in ps), key=lambda x
 _LABEL = re.compile(r"(?<![A-Za-zऀ-ॿ])(?:" + "|".join(f"(?P<l{i}>{_label_pattern(p)})" for i, (p, _) in enumerate(_PHRASES)) + r")(?![A-Za-zऀ-ॿ])[.:\s-]*", re.I)
 
 
+_LONG_PHRASES = [(q, f, p.count(" ") + 1, Counter(q)) for p, f in _PHRASES if len(q := p.replace(".", "")) >= 7 and p.isascii() and f != "expiry_date"]
+
+
 def labels(text: str) -> list[tuple[str, int, int]]:
     """(field, start, end) of the labels of a text, the longest wording at each place."""
     return [(_PHRASES[int(m.lastgroup[1:])][1], m.start(), m.end()) for m in _LABEL.finditer(text)]
 
 
+def past_labels(tail: str) -> str:
+    """The text after further labels and remarks in brackets at its beginning."""
+    while m := re.match(r"^\W*\([^)\d]*\)", tail) or _LABEL.match(tail.lstrip(" /&,")):
+        tail = tail[m.end() :] if m.re is not _LABEL else tail.lstrip(" /&,")[m.end() :]
+    return tail
+
+
 def _float(t: str) -> float:
     return float(t.replace(",", ""))
 
@@ -227,11 +239,12 @@ class Page:
     def take(self, field: str, tail: str, line: Line, conf: float, how: str) -> bool:
         """Read a value of a field from the text after its label."""
         conf *= line.conf
+        tail = past_labels(tail)
         if field == "retail_sale_price" and (v := amount(tail)) is not None:
             self.put(field, line.text, conf, how, num=v)
         elif field == "net_quantity" and (q := quantity(tail)) is not None:
             self.put(field, line.text, conf, how, num=q[0], unit=q[1])
-        elif field == "unit_sale_price" and (m := RATE.search(tail) or BARE_RATE.match(tail)):
+        elif field == "unit_sale_price" and (m := RATE.search(tail) or BARE_RATE.match(tail)) and not (m.re is BARE_RATE and self.found.get("retail_sale_price", {}).get("num") == _float(m[1])):
             self.put(field, line.text, conf, how, num=_float(m[1]), unit=unit_of(m[2]) if m.re is RATE else None)
         elif field == "manufacture_date" and (d := dates_in(tail)):
             y, month = d[0][:2]
@@ -281,14 +294,16 @@ class Page:
         for line in self.lines:
             if line.labels:
                 continue
-            words = list(re.finditer(r"\S+", line.text))
-            for phrase, field in _PHRASES:
-                n = phrase.count(" ") + 1
-                if not self.missing(field) or len(phrase) < 7 or not phrase.isascii() or field == "expiry_date" or len(words) < n:
+            words = [m.end() for m in islice(re.finditer(r"\S+", line.text), 6)]
+            heads = [re.sub(r"[^a-z ]", "", line.text[:e].lower()) for e in words]
+            letters = [Counter(h) for h in heads]
+            for phrase, field, n, bag in _LONG_PHRASES:
+                if len(words) < n or not self.missing(field):
                     continue
-                head = line.text[: words[n - 1].end()]
-                if similarity(phrase.replace(".", ""), re.sub(r"[^a-z ]", "", head.lower())) >= 0.78:
-                    tail = line.text[words[n - 1].end() :]
+                head, size = heads[n - 1], max(len(phrase), len(heads[n - 1]))
+                # shared letters bound the similarity from above
+                if sum((bag & letters[n - 1]).values()) >= 0.78 * size and similarity(phrase, head) >= 0.78:
+                    tail = line.text[words[n - 1] :]
                     if field in BLOCKS:
                         self.block(field, tail, line, 0.75, "damaged label")
                     elif not self.take(field, tail, line, 0.75, "damaged label"):

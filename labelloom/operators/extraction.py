@@ -149,3 +149,15 @@ def context_flags(c: Column, imported: Column) -> list[Column]:
         said("wholesale", "not for retail").alias("wholesale"), (low.rlike("(^|[^a-z])import(ed|er|s)?($|[^a-z])") | F.coalesce(imported, F.lit(False))).alias("imported"),
         said("institutional", "industrial use", "for export").alias("special_use"), (F.contains(low, F.lit("genetically modified")) | low.rlike("(^|[^a-z])gmo?($|[^a-z])")).alias("gm"),
     ]
+
+
+def listing_frame(spark, rows: list[tuple]) -> DataFrame:
+    """Listings from (listing_id, title, text[, platform, seller]) tuples; missing members are null."""
+    cols = ["listing_id", "title", "text", "platform", "seller"]
+    return spark.createDataFrame([tuple(r) + (None,) * (len(cols) - len(r)) for r in rows], "listing_id long, title string, text string, platform string, seller string")
+
+
+def second_reader_rows(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """(key, field_id, value): one row for each field a second reader gave, from one column a field; nulls and blanks give none."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field_id"), F.trim(F.col(c).cast("string")).alias("value")) for c, f in fields.items())))
+    return rows.select(key, pairs.alias("p")).select(key, "p.*").where("value is not null and value <> ''")

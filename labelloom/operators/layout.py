@@ -197,3 +197,77 @@ def top_tokens(spans: DataFrame, token: str, share: float = 0.25) -> DataFrame:
     hit = F.coalesce(F.lower("text").rlike(f"(^|[^a-z0-9]){token.lower()}($|[^a-z0-9])"), F.lit(False))
     top = F.col("y") + F.col("h") / 2 <= F.col("y0") + share * (F.col("y1") - F.col("y0"))
     return s.join(ends, PAGE).groupBy(*PAGE).agg(F.bool_or(hit).alias("present"), F.bool_or(hit & top).alias("at_top"))
+
+
+def zoom_candidates(spans: DataFrame, width: float, height: float, least: float = 0.35) -> DataFrame:
+    """(scan_id, photo, covered, zoom): share of the picture inside the hull of its text, and whether it is too small."""
+    s = boxes(spans).groupBy(*PAGE).agg(((F.max(F.expr("x + w")) - F.min("x")) * (F.max(F.expr("y + h")) - F.min("y")) / (width * height)).alias("a"))
+    return s.select(*PAGE, (F.floor(F.least(F.lit(1.0), F.col("a")) * 10000 + 0.5) / 10000).alias("covered"), (F.col("a") < least).alias("zoom"))
+
+
+def wants_second_reading(text, confidence):
+    """Not a plain Latin line that was read surely; null text is no line."""
+    return text.isNotNull() & ~((F.coalesce(confidence, F.lit(0.0)) >= 0.97) & text.rlike("^[ -~]*$"))
+
+
+def weakest(spans: DataFrame, below: float, limit: int) -> DataFrame:
+    """(span_id, rank): the least sure lines of every photo under a confidence."""
+    s = spans.select("scan_id", F.coalesce("photo", F.lit(0)).alias("photo"), "span_id", F.coalesce("confidence", F.lit(0.0)).alias("c")).where(F.col("c") < below)
+    w = Window.partitionBy("scan_id", "photo").orderBy("c", "span_id")
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("span_id", "rank")
+
+
+def better_reading(old_text, old_score, new_text, new_score, gain: float = 0.05, kept: float = 0.6):
+    """A second crop is taken where it is surer by ``gain`` and keeps ``kept`` of the characters."""
+    return (new_score >= old_score + gain) & (F.length(new_text) >= kept * F.length(old_text))
+
+
+def below_chains(spans: DataFrame, hops: int = 3) -> DataFrame:
+    """(span_id, hop, below_id): the spans under a span in its column, one after the other, until the print leaves space."""
+    first = below_neighbours(spans).select("span_id", "below_id")
+    step = first.select(F.col("span_id").alias("at"), F.col("below_id").alias("next"))
+    out = last = first.withColumn("hop", F.lit(1))
+    for k in range(2, hops + 1):
+        last = last.join(step, F.col("below_id") == F.col("at")).select("span_id", F.col("next").alias("below_id"), F.lit(k).alias("hop")).where("below_id <> span_id")
+        out = out.unionByName(last)
+    return out
+
+
+def _stacked_beside(limit: int):
+    def run(g: pa.RecordBatch) -> list[tuple]:
+        scan, photo, ids, x, y, w, h = _cols(g, "scan_id", "photo", "span_id", "x", "y", "w", "h")
+
+        def adjacent(a: int, b: int) -> bool:
+            shared = min(y[a] + h[a], y[b] + h[b]) - max(y[a], y[b])
+            gap = max(x[b] - x[a] - w[a], x[a] - x[b] - w[b])
+            return a != b and shared >= 0.2 * min(h[a], h[b]) and gap <= max(4.0, min(w[a], h[a]))
+
+        out = []
+        for i in range(len(ids)):
+            found: list[int] = []
+            edge = [i]
+            while edge and len(found) < limit:
+                near = sorted({b for a in edge for b in range(len(ids)) if adjacent(a, b)} - {i, *found}, key=lambda b: abs(x[b] + w[b] / 2 - x[i] - w[i] / 2))
+                edge = near[: limit - len(found)]
+                found += edge
+            out += [(scan[i], photo[i], ids[i], ids[b], k) for k, b in enumerate(sorted(found, key=lambda b: x[b] + w[b] / 2))]
+        return out
+
+    return run
+
+
+def beside_vertical(spans: DataFrame, limit: int = 3) -> DataFrame:
+    """(scan_id, photo, span_id, beside_id, pos): the sideways lines stacked next to a sideways line, left to right."""
+    s = boxes(spans.where("vertical")).select(*PAGE, "span_id", "x", "y", "w", "h")
+    return by_group(s, PAGE, ["x", "span_id"], _stacked_beside(limit), "scan_id string, photo int, span_id long, beside_id long, pos int")
+
+
+def split_prices(prices: DataFrame, overlays: DataFrame) -> DataFrame:
+    """(scan_id, printed, sticker): the greatest price under no pasted rectangle, and under one.
+
+    prices: (scan_id, price, box), overlays: (scan_id, overlay).
+    """
+    from labelloom.functions.geometry import covers
+
+    hit = prices.join(overlays, "scan_id", "left").groupBy("scan_id", "price", "box").agg(F.coalesce(F.bool_or(covers(F.col("overlay"), F.col("box"))), F.lit(False)).alias("pasted"))
+    return hit.groupBy("scan_id").agg(F.max(F.when(~F.col("pasted"), F.col("price"))).alias("printed"), F.max(F.when(F.col("pasted"), F.col("price"))).alias("sticker"))

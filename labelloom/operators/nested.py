@@ -160,18 +160,19 @@ def typed_table(tagged: DataFrame, tag: str) -> DataFrame:
 
 
 #: The root record's fields with what an old writer that lacks them means.
-ROOT = "product_name string, verdict string, category string, barcode string, quality string, coverage_complete boolean, n_photos int, ocr_stats struct<photos:string>, declarations string, findings string, spans string"
+ROOT = "inspector_id string, image_path string, context struct<commodity_category:string,package_class:string,barcode:string>, coverage_complete boolean, declarations string, findings string, spans string"
 
 
 def scan_roots(scans: DataFrame) -> DataFrame:
-    """(scan_id, product_name, verdict, barcode, coverage_complete, n_declarations, n_findings, n_spans): one row a scan whose payload is an object.
+    """(scan_id, inspector_id, image_path, category, package_class, barcode, coverage_complete, n_declarations, n_findings, n_spans): one row a scan whose payload is an object.
 
-    Missing keys get defaults: an empty name is null, coverage is incomplete, absent lists are empty.
+    Missing keys get defaults: the category is other, the class retail, coverage incomplete, absent lists empty.
     """
     p = latest_scans(scans).where("payload is not null").withColumn("payload", F.when(F.col("payload").startswith('"'), F.from_json(F.concat(F.lit('{"x":'), "payload", F.lit("}")), "x string")["x"]).otherwise(F.col("payload")))
     r = p.where(F.trim("payload").startswith("{")).select("scan_id", F.from_json("payload", ROOT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.try_parse_json("payload").isNotNull().alias("ok")).where("ok")
     size = lambda c: F.coalesce(F.json_array_length(f"r.{c}"), F.when(F.col(f"r.{c}").isNotNull(), 1), F.lit(0))
-    return r.select("scan_id", F.nullif(F.trim("r.product_name"), F.lit("")).alias("product_name"), "r.verdict", "r.barcode", F.coalesce("r.coverage_complete", F.lit(False)).alias("coverage_complete"), size("declarations").alias("n_declarations"), size("findings").alias("n_findings"), size("spans").alias("n_spans"))
+    ctx = lambda c, default=None: F.coalesce(f"r.context.{c}", F.lit(default)).alias(c.removeprefix("commodity_"))
+    return r.select("scan_id", "r.inspector_id", "r.image_path", ctx("commodity_category", "other"), ctx("package_class", "retail"), ctx("barcode"), F.coalesce("r.coverage_complete", F.lit(False)).alias("coverage_complete"), size("declarations").alias("n_declarations"), size("findings").alias("n_findings"), size("spans").alias("n_spans"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,3 +215,16 @@ ORACLE = {
   UNION ALL SELECT scan_id, child, parent_pos, pos FROM ({_children_sql("h", "scan_id", "(v -> '$.passes')", "ocr_pass", "pos")}) {_LIVE})
 SELECT scan_id, child, parent_pos, pos FROM a"""
 }
+_UPTO = ORACLE["p4_found"].split(",\n a AS (")[0]
+_LEN = "CASE json_type(j -> '$.{0}') WHEN 'ARRAY' THEN json_array_length(j -> '$.{0}') WHEN 'NULL' THEN 0 ELSE CASE WHEN (j -> '$.{0}') IS NULL THEN 0 ELSE 1 END END"
+_NOTES = _children_sql("d", "scan_id", "(v -> '$.notes')", "note", "pos")
+_PHOTOS = _children_sql("o", "scan_id", "(j -> '$.package_photos')", "package_photo", "-1")
+_PASSES = _children_sql("h", "scan_id", "(v -> '$.passes')", "ocr_pass", "pos")
+_SAID = "CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' ELSE CAST(v AS VARCHAR) END AS text"
+ORACLE |= {
+    "p4_notes": f"{_UPTO} SELECT scan_id, parent_pos, pos, {_SAID} FROM ({_NOTES}) {_LIVE}",
+    "p4_package_photos": f"{_UPTO} SELECT scan_id, parent_pos, pos, {_SAID} FROM ({_PHOTOS}) {_LIVE}",
+    "p4_ocr_passes": f"{_UPTO} SELECT scan_id, parent_pos, pos, v ->> '$.engine' AS engine, try_cast(v ->> '$.regions' AS INT) AS regions, try_cast(v ->> '$.predict_s' AS DOUBLE) AS predict_s FROM ({_PASSES}) {_LIVE}",
+    "p4_glyphs": f"{_UPTO} SELECT scan_id, pos AS parent_pos, 0 AS pos, try_cast(g ->> '$.cap_height_px' AS DOUBLE) AS cap_height_px, try_cast(g ->> '$.cap_height_mm' AS DOUBLE) AS cap_height_mm, try_cast(g ->> '$.n_glyphs_measured' AS INT) AS n_glyphs_measured, g ->> '$.measured_characters' AS measured_characters FROM (SELECT scan_id, pos, v -> '$.glyph' g FROM d) WHERE json_type(g) <> 'NULL'",
+    "p4_scans": f"{_UPTO} SELECT scan_id, j ->> '$.inspector_id' AS inspector_id, j ->> '$.image_path' AS image_path, coalesce(j ->> '$.context.commodity_category', 'other') AS category, coalesce(j ->> '$.context.package_class', 'retail') AS package_class, j ->> '$.context.barcode' AS barcode, coalesce(try_cast(j ->> '$.coverage_complete' AS BOOLEAN), false) AS coverage_complete, {_LEN.format('declarations')} AS n_declarations, {_LEN.format('findings')} AS n_findings, {_LEN.format('spans')} AS n_spans FROM o",
+}
