@@ -137,7 +137,7 @@ def dates_in(text: str | None) -> list[tuple[int, int, int | None, str]]:
 def amount(tail: str) -> float | None:
     """The price right after a label; a rate is none."""
     m = AMOUNT.match(tail)
-    if not m or re.match(r"\s*(?:/(?!-)|per\b|%|प्रति)", m["more"]) or (re.match(r"[A-Za-z]", m["more"]) and not re.search(r"\.\d\d$", m[1])):
+    if not m or re.match(rf"\s*(?:/(?!-)|per\b|%|प्रति|(?:{'|'.join(MONTHS)}))", m["more"], re.I) or (re.match(r"[A-Za-z]", m["more"]) and not re.search(r"\.\d\d$", m[1])):
         return None
     if m[1] in ("7", "2") and (n := re.match(rf"\s+({_NUMBER})", m["more"])):
         return _float(n[1])  # the rupee sign read as a figure
