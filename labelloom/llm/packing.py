@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from labelloom.session import cut, table
 
 CAPACITY = 2048
-#: Salts that split the ranking of one size; at most CAPACITY x SALTS counts reach the driver.
-SALTS = 16
+#: Salts that split the ranking of one size: at least the first figure, at most the second, else one for so many items;
+#: at most CAPACITY x salts counts reach the driver.
+SALTS, MOST_SALTS, ITEMS_A_SALT = 16, 512, 1 << 22
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-tokenisation pattern of this byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,15 +142,18 @@ def _place(slots: dict[str, np.ndarray], offsets: dict[tuple[int, int], int]):
     return run
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """(doc_id, piece, n_tokens, container) for items (doc_id, n_tokens)."""
     spark = sizes.sparkSession
     items = cut(sizes.groupBy("doc_id").agg(F.max("n_tokens").alias("n")))
     n_full, rest = F.floor(F.col("n") / capacity).cast("long"), F.col("n") % capacity
-    pieces = items.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    last = pieces.where((rest > 0)).select("doc_id", n_full.cast("int").alias("piece"), rest.cast("int").alias("size"), "salt")
-    full = pieces.where(n_full > 0).select("doc_id", F.explode(F.sequence(F.lit(0), n_full.cast("int") - 1)).alias("piece"), F.lit(capacity).alias("size"), "salt")
-    last = last.unionByName(full)
+    if salts is None:
+        total = items.agg(F.sum(F.ceil(F.col("n") / capacity)).alias("k")).first()["k"] or 0
+        salts = int(min(MOST_SALTS, max(SALTS, total // ITEMS_A_SALT)))
+    last = items.where((rest > 0)).select("doc_id", n_full.cast("int").alias("piece"), rest.cast("int").alias("size"))
+    full = items.where(n_full > 0).select("doc_id", F.explode(F.sequence(F.lit(0), n_full.cast("int") - 1)).alias("piece"), F.lit(capacity).alias("size"))
+    # by piece, so that the pieces of one long text are spread as well
+    last = last.unionByName(full).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     counts = last.groupBy("size", "salt").count().collect()  # at most capacity x salts rows
     hist = np.zeros(capacity + 1, dtype=np.int64)
     offsets: dict[tuple[int, int], int] = {}
