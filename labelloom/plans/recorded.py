@@ -32,10 +32,10 @@ def answer_key(spark: SparkSession, folder: str) -> tuple[str, DataFrame, DataFr
 def read_dumps(spark: SparkSession, folder: str, as_of: str) -> DataFrame:
     """Declarations of every dump of a folder, named by photo and variant."""
     s = readers.recogniser_dumps(spark, f"{folder}/*.paddle.json")
-    s = s.select(F.col("name").alias("scan_id"), F.lit(0).alias("photo"), F.monotonically_increasing_id().alias("span_id"), text.clean(F.col("text")).alias("text"), "x", "y", "w", "h", "confidence", "angle", "vertical")
+    s = s.select(F.concat_ws(".", "name", "variant").alias("scan_id"), F.lit(0).alias("photo"), F.monotonically_increasing_id().alias("span_id"), text.clean(F.col("text")).alias("text"), "x", "y", "w", "h", "confidence", "angle", "vertical")
     d = declarations.declarations(s, as_of)
     parts = F.split("scan_id", r"\.")
-    return d.withColumn("photo_name", parts[0]).withColumn("variant", F.coalesce(F.get(parts, F.lit(1)), F.lit("default")))
+    return d.withColumn("photo_name", parts[0]).withColumn("variant", parts[1])
 
 
 def field_scores(declared: DataFrame, key: DataFrame) -> DataFrame:

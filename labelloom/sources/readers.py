@@ -16,16 +16,17 @@ MANIFEST = "image_path string, px_per_mm double, fields array<struct<field_id:st
 def recogniser_dumps(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Recorded regions as spans: one row per region with visible text.
 
-    (name, region_no, text, x, y, w, h, confidence, source_engine, lang, vertical, angle). The
+    (name, region_no, text, x, y, w, h, confidence, source_engine, lang, vertical, angle, variant: what stands between name and ending). The
     schema is fixed, missing keys are null, files that are no JSON give no rows.
     """
     raw = spark.read.schema(DUMP + ", _corrupt_record string").options(multiLine=True, mode="PERMISSIVE", encoding=encoding).json(path)
-    name = F.regexp_replace(F.col("_metadata.file_name"), "([.](paddle|lines))?[.]json$", "")
-    rows = raw.select(name.alias("name"), F.posexplode("regions").alias("region_no", "r"))
+    file = F.col("_metadata.file_name")
+    variant = F.coalesce(F.nullif(F.regexp_extract(file, "^[^.]+[.](.+)[.](?:paddle|lines|dump)[.]json$", 1), F.lit("")), F.lit("default"))
+    rows = raw.select(F.regexp_extract(file, "^([^.]+)", 1).alias("name"), variant.alias("variant"), F.posexplode("regions").alias("region_no", "r"))
     b = geometry.polygon_box(F.col("r.poly"))
-    spans = rows.select("name", "region_no", visible(F.col("r.text")).alias("text"), b.alias("b"), F.col("r.score").alias("confidence"), F.col("r.engine").alias("source_engine"), F.col("r.language").alias("lang"), "r.vertical", geometry.polygon_angle(F.col("r.poly")).alias("angle"))
+    spans = rows.select("name", "variant", "region_no", visible(F.col("r.text")).alias("text"), b.alias("b"), F.col("r.score").alias("confidence"), F.col("r.engine").alias("source_engine"), F.col("r.language").alias("lang"), "r.vertical", geometry.polygon_angle(F.col("r.poly")).alias("angle"))
     vertical = F.coalesce("vertical", geometry.is_vertical(F.col("b.w"), F.col("b.h"), F.col("text")))
-    return spans.where("text <> ''").select("name", "region_no", "text", "b.x", "b.y", "b.w", "b.h", "confidence", "source_engine", "lang", vertical.alias("vertical"), "angle")
+    return spans.where("text <> ''").select("name", "region_no", "text", "b.x", "b.y", "b.w", "b.h", "confidence", "source_engine", "lang", vertical.alias("vertical"), "angle", "variant")
 
 
 def line_manifests(spark: SparkSession, path: str, homography: list[list[float]] | None = None) -> DataFrame:
