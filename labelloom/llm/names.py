@@ -203,13 +203,16 @@ def abbreviations(words: DataFrame, things: DataFrame, least: float = 0.25) -> D
     its consonants, its first three, or its first two and the last; ``shared`` is the share of w's things that are named with
     c as well. words: (scope, w, n), things: (scope, w, thing, n), of one scope.
     """
-    s = words.where(F.length("w").between(3, 40)).select("w", "n", _skeleton("w").alias("k"))
-    three = F.when(F.length("k") >= 3, F.concat(F.lit("3:"), F.substring("k", 1, 3)))
-    ends = F.when(F.length("k") >= 4, F.concat(F.lit("e:"), F.substring("k", 1, 2), F.substring("k", -1, 1)))
-    probe = s.where(F.length("w") <= 8).select("w", F.col("n").alias("n_w"), F.explode(F.array_compact(F.array(F.concat(F.lit("b:"), "w"), F.concat(F.lit("k:"), "k"), three, ends))).alias("key"))
-    starts = F.transform(F.sequence(F.lit(3), F.least(F.length("w") - 1, F.lit(8))), lambda i: F.concat(F.lit("b:"), F.substring(F.col("w"), F.lit(1), i)))
-    index = s.where(F.length("w") >= 4).select(F.col("w").alias("c"), F.col("n").alias("n_c"), F.explode(F.array_compact(F.concat(starts, F.array(F.concat(F.lit("k:"), "k"), three, ends)))).alias("key"))
-    pairs = probe.join(index, "key").where("n_c > n_w and length(c) > length(w)").where(F.expr("c like concat(array_join(split(w, ''), '%'), '%')")).select("w", "c", "n_c").distinct()
+    s = words.where(F.length("w") >= 3).select("w", "n", _skeleton("w").alias("k"))
+    key = lambda kind, *parts: F.xxhash64(F.lit(kind), F.concat(*parts))
+    three = F.when(F.length("k") >= 3, key("3", F.substring("k", 1, 3)))
+    ends = F.when(F.length("k") >= 4, key("e", F.substring("k", 1, 2), F.substring("k", -1, 1)))
+    probe = s.select("w", F.col("n").alias("n_w"), F.explode(F.array_compact(F.array(key("b", "w"), key("k", "k"), three, ends))).alias("key"))
+    starts = F.transform(F.sequence(F.lit(3), F.length("w") - 1), lambda i: key("b", F.substring(F.col("w"), F.lit(1), i)))
+    index = s.where(F.length("w") >= 4).select(F.col("w").alias("c"), F.col("n").alias("n_c"), F.explode(F.array_compact(F.concat(starts, F.array(key("k", "k"), three, ends)))).alias("key"))
+    # the letters of w in order in c: p is the place behind the last one found
+    inside = F.expr("aggregate(split(w, ''), 1, (p, x) -> if(p = 0 or x = '', p, if(locate(x, c, p) = 0, 0, locate(x, c, p) + 1))) > 0")
+    pairs = probe.join(index, "key").where("n_c > n_w and length(c) > length(w)").select("w", "c", "n_c").distinct().where(inside)
     seen = evidence(pairs.select(F.lit("").alias("scope"), "w", "c", "n_c"), things).where(F.col("shared") >= least)
     return seen.groupBy("w").agg(F.max(F.struct("shared", "n_c", "c")).alias("m")).select("w", "m.c", "m.shared")
 
@@ -525,7 +528,7 @@ def shortened(rows: DataFrame, words: DataFrame) -> DataFrame:
     rows: (key_id, n: words of the goods name), words: (w, n_name). A shortening stands beside the words its
     full form stands beside; shortenings of shortenings lead to the full word.
     """
-    each = rows.where(F.size("n").between(2, 12)).select("key_id", F.explode(F.array_distinct("n")).alias("w"))
+    each = rows.where(F.size("n") >= 2).select("key_id", F.explode(F.array_distinct("n")).alias("w"))
     beside = each.join(each.select("key_id", F.col("w").alias("thing")), "key_id").where("w <> thing").groupBy(F.lit("").alias("scope"), "w", "thing").agg(F.count("*").alias("n"))
     counts = words.where("n_name > 0").select(F.lit("").alias("scope"), "w", F.col("n_name").alias("n"))
     found = cut(abbreviations(counts, cut(beside), least=SHARED).select("w", "c"))

@@ -10,3 +10,12 @@ def test_rare_goods_typed_with_slips(spark):
     keys = spark.createDataFrame([(i, b, g) for i, (b, g) in enumerate(rows)], "key_id long, brand string, common_name string")
     got = {tuple(r) for r in names.same_pairs(names.linked_names(keys), "key_id", ["brand_id", "goods_id"]).collect() if r.key_id_a < 8}
     assert got == {(0, 1), (2, 3), (2, 4), (3, 4)}
+
+
+def test_shortened_words_of_long_names_and_long_short_forms(spark):
+    rest = "rose mint lime palm fern iris lily moss sage reed dune cove".split()
+    full = "anti" * 11 + "dandruff"  # 52 letters
+    goods = [[*rest, "powder"]] * 4 + [[*rest, "pwd"]] * 2 + [["clove", full]] * 4 + [["clove", full[:45]]] * 2 + [["cedar", "refreshment"]] * 4 + [["cedar", "refreshmn"]] * 2
+    rows = spark.createDataFrame(list(enumerate(goods)), "key_id long, n array<string>")
+    words = rows.selectExpr("explode(n) w").groupBy("w").count().withColumnRenamed("count", "n_name")
+    assert {tuple(r) for r in names.shortened(rows, words).collect()} >= {("pwd", "powder"), (full[:45], full), ("refreshmn", "refreshment")}
