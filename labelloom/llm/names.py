@@ -1,10 +1,12 @@
 """Variant spellings of names typed by people (problem 1).
 
 Method: pigeonhole segment join. A name's words are folded (case, doubled letters, sounds that
-are written in several ways); a folded word of at most k edits from another shares one of
+are written in several ways); a folded word of at most k plain edits from another shares one of
 k+1 segments with it, at a position shifted by at most k. Segments of all words form an inverted
-index, probed with the position-shifted substrings of each word; candidates are verified with
-an edit distance banded by k. The join runs three times: words of goods against the
+index, probed with the position-shifted substrings of each word. Segments of words of up to SHORT letters
+would be so short that one key holds a share of all words; such words meet in what is left of them
+when up to k letters are taken out, which for k edits (a swap of neighbours is one) some such rest of
+both always is. Candidates are verified with an edit distance banded by k. The join runs three times: words of goods against the
 vocabulary of frequent words, brand cores against each other, and, for names whose words ran
 together, whole goods names inside one brand. Words the vocabulary lacks, and names that hold
 such words, are then joined with each other inside their brand.
@@ -16,8 +18,8 @@ rules. Given names, legal forms and regional words for goods are published lists
 A variant joins the most frequent spelling in reach (a star, not a chain: the root must itself
 be in reach), guarded by frequency: two spellings that are both common stay apart.
 
-Scale: words and cores are aggregated before they are joined; the index key is (segment number,
-length, substring), so no group of one brand meets as a whole; only the vocabulary of goods
+Scale: words, cores and goods names are aggregated before they are joined; an index key is nearly a whole
+word, or (segment number, length, substring of four letters and more), so no group of one brand meets as a whole; only the vocabulary of goods
 words, of bounded size, and the fixed word lists reach the driver.
 
 Defined results: a row with a null brand or common_name links to nothing; names without a
@@ -41,6 +43,9 @@ VOCABULARY = 3000
 #: A spelling this many times rarer than a neighbour is a slip of it and no word of the vocabulary.
 SLIPS = 12
 
+#: Words of up to this many letters are joined by what is left without one or two letters, longer ones by segments.
+SHORT = 16
+
 #: A spelling this rare beside a neighbour one or two edits away is a slip of it; else this share of its rows must fit.
 RARE, SHARED = (0.5, 0.25), 0.5
 
@@ -114,19 +119,31 @@ def segments(n: int, k: int) -> list[tuple[int, int]]:
 
 def plain_edits(n: int) -> int:
     """Plain edits the pigeonholes are cut for: a swap of neighbours is two of them."""
-    return min(2 * reach(n), max(0, n - 1), 3)
+    return min(2 * reach(n), max(0, n - 1))
+
 
+def without(w: str, k: int) -> set[str]:
+    """w, and what is left of it when up to k letters are taken out."""
+    out = last = {w}
+    for _ in range(k):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
 
-def _indexed(w: str) -> Iterator[str]:
-    for i, (at, size) in enumerate(segments(len(w), plain_edits(len(w)))):
-        yield f"{i}:{len(w)}:{w[at : at + size]}"
+
+def _indexed(w: str) -> set[str]:
+    if len(w) <= SHORT:
+        return without(w, k) if (k := reach(len(w))) else set()
+    return {f"{i}:{len(w)}:{w[at : at + size]}" for i, (at, size) in enumerate(segments(len(w), plain_edits(len(w))))}
 
 
 def _probes(w: str) -> set[str]:
-    """Substrings that can equal a segment: edits before segment i shift it by at most i, edits
-    after it by at most k-i, and both shifts add up to the difference of the lengths."""
-    r, keys = reach(len(w)), set()
-    for n in range(max(1, len(w) - r), len(w) + r + 1):
+    """Rests for the short words in reach, and for the long ones substrings that can equal a segment: edits before
+    segment i shift it by at most i, edits after it by at most k-i, and both shifts add up to the difference of the lengths."""
+    if not (r := reach(len(w))):
+        return set()
+    keys = without(w, r) if len(w) - r <= SHORT else set()
+    for n in range(max(SHORT + 1, len(w) - r), len(w) + r + 1):
         k, d = plain_edits(n), len(w) - n
         for i, (at, size) in enumerate(segments(n, k)):
             lo, hi = max(at - i, at + d - (k - i), 0), min(at + i, at + d + (k - i), len(w) - size)
@@ -138,9 +155,12 @@ def _probes(w: str) -> set[str]:
 def _expand(make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(s, k, w, n) for s, w, n in zip(*(b.column(c).to_pylist() for c in ("scope", "w", "n"))) for k in make(w)]
-            s, k, w, n = zip(*rows) if rows else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(k, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], names=["scope", "seg", "w", "n"])
+            for at in range(0, b.num_rows, 1000):  # a word has many keys
+                part = b.slice(at, 1000)
+                keys = [list(make(w)) for w in part.column("w").to_pylist()]
+                of = pa.array([i for i, ks in enumerate(keys) for _ in ks], pa.int32())
+                rest = [part.column(c).take(of) for c in ("scope", "w", "n")]
+                yield pa.RecordBatch.from_arrays([rest[0], pa.array([k for ks in keys for k in ks], pa.string()), *rest[1:]], names=["scope", "seg", "w", "n"])
 
     return run
 
@@ -159,9 +179,10 @@ def segment_join(probe: DataFrame, index: DataFrame, guard: bool = False) -> Dat
     """
     schema = "scope string, seg string, w string, n long"
     given = lambda df: df.select("scope", "w", F.col("n").cast("long") if "n" in df.columns else F.lit(0).cast("long").alias("n"))
-    left = given(probe).mapInArrow(_expand(_probes), schema).withColumnRenamed("n", "n_w")
-    right = given(index).mapInArrow(_expand(_indexed), schema).withColumnsRenamed({"w": "c", "n": "n_c"})
-    pairs = left.join(right, ["scope", "seg"]).where("w <> c")
+    at = F.xxhash64("scope", "seg").alias("at")
+    left = given(probe).mapInArrow(_expand(_probes), schema).select(at, "scope", "w", F.col("n").alias("n_w"))
+    right = given(index).mapInArrow(_expand(_indexed), schema).select(at, "scope", F.col("w").alias("c"), F.col("n").alias("n_c"))
+    pairs = left.join(right, ["at", "scope"]).where("w <> c")
     if guard:
         pairs = pairs.where(_upward())
     # two swaps of neighbours are four plain edits
@@ -286,10 +307,11 @@ def _firm_kind(w: str, lists: dict, long: list) -> tuple[str, str] | None:
         return ("business", "")  # initials of two kinds
     if len(w) <= 7:
         for full in BUSINESS:
-            if _short_of(w, full):
+            if full[0] == w[0] and _short_of(w, full):
                 return ("business", full)
     if len(w) >= 4:
-        for g, plain, kind in long:
+        for i in _long_near(w, f, long):
+            g, plain, kind = long[i]
             if len(plain) == 4 and len(w) == 4 and sorted(w) == sorted(plain) and edits(w, plain, 1) <= 1:
                 return kind  # two letters swapped
             if len(plain) >= 5:
@@ -299,6 +321,47 @@ def _firm_kind(w: str, lists: dict, long: list) -> tuple[str, str] | None:
     return None
 
 
+_NEAR: dict[tuple[str, str], list[int]] = {}  # made by each worker
+
+
+def _long_near(w: str, f: str, long: list) -> list[int]:
+    """Places in the list of longer words that may be within one or two edits, in order."""
+    if not _NEAR:
+        for i, (g, plain, _) in enumerate(long):
+            for kind, rests in (("4", {"".join(sorted(plain))} if len(plain) == 4 else ()), ("w", without(plain, 2 if len(plain) >= 8 else 1) if len(plain) >= 5 else ()), ("f", without(g, 1) if len(plain) >= 5 and len(g) >= 6 else ())):
+                for r in rests:
+                    _NEAR.setdefault((kind, r), []).append(i)
+    most = max(len(plain) for _, plain, _ in long) + 2
+    keys = [("4", "".join(sorted(w)))] if len(w) == 4 else []
+    keys += [("w", r) for r in without(w, 2 if len(w) >= 6 else 1)] if len(w) <= most else []
+    keys += [("f", r) for r in without(f, 1)] if len(f) <= most else []
+    return sorted({i for k in keys for i in _NEAR.get(k, ())})
+
+
+_BARE: dict[str, tuple[str, list[str]]] = {}
+
+
+def _bare(core: str, long: list) -> tuple[str, list[str]]:
+    """A core without what ran together with it (kinds of business, given names or titles), and these kinds."""
+    if core not in _BARE:
+        if len(_BARE) > 200_000:
+            _BARE.clear()  # a memo, no list
+        own, kinds, cutting = core, [], True
+        while cutting and len(own) > 9:
+            cutting = False
+            for g, _, k in long:
+                if len(g) >= 4 and len(own) - len(g) >= 5 and k[0] in ("business", "given", "legal"):
+                    if own.endswith(g):
+                        own, cutting = own[: -len(g)], True
+                        kinds.append(k[1])
+                    elif own.startswith(g):
+                        own, cutting = own[len(g) :], True
+                    if cutting:
+                        break
+        _BARE[core] = own, kinds
+    return _BARE[core]
+
+
 def brand_core(words: list[str], lists: dict, long: list) -> tuple[str, str]:
     """(folded own part of a firm's name, its kind of business)."""
     own, kinds, given = [], [], []
@@ -316,18 +379,8 @@ def brand_core(words: list[str], lists: dict, long: list) -> tuple[str, str]:
     if len(own) > 1:
         own = [x for x in own if len(x) > 1] or own
     core = fold("".join(own))
-    cutting = True
-    while cutting and len(core) > 9:  # run together with kinds of business, given names or titles
-        cutting = False
-        for g, _, k in long:
-            if len(g) >= 4 and len(core) - len(g) >= 5 and k[0] in ("business", "given", "legal"):
-                if core.endswith(g):
-                    core, cutting = core[: -len(g)], True
-                    kinds.append(k[1])
-                elif core.startswith(g):
-                    core, cutting = core[len(g) :], True
-                if cutting:
-                    break
+    core, cut_off = _bare(core, long)
+    kinds += cut_off
     if core.startswith("sri") and len(core) >= 8:
         core = core[3:]  # a title run together with the name
     if not core:
@@ -401,35 +454,46 @@ def spellings(vocabulary: list[str]) -> dict[str, str]:
     return out
 
 
-def _split(w: str, known: dict[str, str]) -> str | None:
-    """A word that is two words of the vocabulary run together, with at most one slip in all."""
-    for i in range(2, len(w) - 1):
-        a, b = fold(w[:i]), fold(w[i:])
-        if a in known and b in known and (min(i, len(w) - i) > 2):
-            return f"{known[a]} {known[b]}"
-    for i in range(3, len(w) - 2):
-        a, b = fold(w[:i]), fold(w[i:])
-        for x, y, flip in ((a, b, False), (b, a, True)):
-            if x in known and len(y) >= 3:
-                near = [g for g in known if abs(len(g) - len(y)) <= 1 and len(g) >= 3 and edits(y, g, 1) <= 1]
-                if near:
-                    pair = (known[x], known[near[0]])
+class _Splitter:
+    """Words that are two words of the vocabulary run together, with at most one slip in all."""
+
+    def __init__(self, known: dict[str, str]) -> None:
+        self.known, self.near = known, {}
+        for i, g in enumerate(known):
+            for r in without(g, 1) if len(g) >= 3 else ():
+                self.near.setdefault(r, []).append((i, g))
+
+    def _slip(self, y: str) -> str | None:
+        hits = {x for r in without(y, 1) for x in self.near.get(r, ())}
+        return min((x for x in hits if edits(y, x[1], 1) <= 1), default=(0, None))[1]
+
+    def of(self, w: str) -> str | None:
+        known = self.known
+        parts = {i: (fold(w[:i]), fold(w[i:])) for i in range(2, len(w) - 1)}
+        for i, (a, b) in parts.items():
+            if a in known and b in known and min(i, len(w) - i) > 2:
+                return f"{known[a]} {known[b]}"
+        for i in range(3, len(w) - 2):
+            a, b = parts[i]
+            for x, y, flip in ((a, b, False), (b, a, True)):
+                if x in known and len(y) >= 3 and (near := self._slip(y)):
+                    pair = (known[x], known[near])
                     return " ".join(reversed(pair) if flip else pair)
-    return None
+        return None
 
 
 def _resolve(vocabulary: list[str]):
-    """Per row: brand core, kind of business and goods words, with swapped fields put right."""
+    """Per row: brand core, goods words and the goods name in one, with swapped fields put right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set(vocabulary)
         folded = spellings(vocabulary)
-        made: dict[str, str] = {}
+        split, made = _Splitter(folded), {}
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for key, brand, name, fb, fn in zip(*(b.column(c).to_pylist() for c in ("key_id", "b", "n", "fix_b", "fix_n"))):
-                sides = []
-                for words, found in ((brand, dict(fb or [])), (name, dict(fn or []))):
+            cols: list[list] = [[], [], [], []]
+            for key, brand, name, found in zip(*(b.column(c).to_pylist() for c in ("key_id", "b", "n", "fix"))):
+                sides, found = [], dict(found or [])
+                for words in (brand, name):
                     fixes = {}
                     for w in words:
                         if w in known or w in GOODS:
@@ -440,7 +504,9 @@ def _resolve(vocabulary: list[str]):
                             fixes[w] = found[w]
                         else:
                             if w not in made:
-                                made[w] = (_split(w, folded) if 6 <= len(w) <= 24 else None) or ""
+                                if len(made) > 200_000:
+                                    made.clear()  # a memo, no list
+                                made[w] = (split.of(w) if len(w) >= 6 else None) or ""
                             if made[w]:
                                 fixes[w] = made[w]
                     goods = goods_words(words, fixes, known)
@@ -449,13 +515,13 @@ def _resolve(vocabulary: list[str]):
                 if sb > sn and sb >= 0.5:
                     (wb, gn) = (wn, gb)
                 # loose letters of one word: "gevi rili"
-                core, kind = brand_core(wb, _LISTS, _LONG)
+                core, _ = brand_core(wb, _LISTS, _LONG)
                 if len(gn) > 1 and sum(g.startswith("?") for g in gn) > 1:
                     gn = _rejoined(gn, folded)
                 if core and gn:
-                    for c, v in zip(cols, (key, core, kind, sorted(set(gn)), "".join(g.lstrip("?") for g in gn))):
+                    for c, v in zip(cols, (key, core, " ".join(sorted({x for g in gn for x in g.split()})), "".join(g.lstrip("?") for g in gn))):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1]  , pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.string())], names=["key_id", "core", "kind", "goods", "squashed"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], names=["key_id", "core", "goods_key", "squashed"])
 
     return run
 
@@ -494,32 +560,37 @@ def linked_names(keys: DataFrame) -> DataFrame:
     best = hits.groupBy("w").agg(F.min(F.struct("d", "rank", "v")).alias("b")).select(F.col("w").alias("f"), "b", F.col("b.v").alias("v"))
     fixes = odd.join(best, "f").groupBy("w").agg(F.min(F.struct("b", "v")).alias("m"))
     fixes = fixes.select("w", "m.v").join(short.select("w"), "w", "left_anti")
-    fixes = cut(fixes.unionByName(short.select("w", F.col("c").alias("v"))))
-    for side in ("b", "n"):
-        found = rows.select("key_id", F.explode(F.array_distinct(side)).alias("w")).join(fixes, "w").groupBy("key_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias(f"fix_{side}"))
-        rows = rows.join(found, "key_id", "left")
-    parts = cut(rows.mapInArrow(_resolve(vocabulary), "key_id long, core string, kind string, goods array<string>, squashed string"))
+    fixes = fixes.unionByName(short.select("w", F.col("c").alias("v")))
+    found = rows.select("key_id", F.explode(F.array_distinct(F.concat("b", "n"))).alias("w")).join(fixes, "w").groupBy("key_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "v"))).alias("fix"))
+    parts = cut(rows.join(found, "key_id", "left").mapInArrow(_resolve(vocabulary), "key_id long, core string, goods_key string, squashed string"))
+    named = cut(parts.groupBy("core", "goods_key", "squashed").agg(F.count("*").alias("n")))
     # brand cores against each other
-    cores = parts.groupBy("core").agg(F.count("*").alias("n")).select(F.lit("").alias("scope"), F.col("core").alias("w"), "n")
-    cores = cut(cores)
-    things = parts.groupBy(F.lit("").alias("scope"), F.col("core").alias("w"), F.array_join("goods", " ").alias("thing")).agg(F.count("*").alias("n"))
+    things = named.groupBy(F.lit("").alias("scope"), F.col("core").alias("w"), F.col("goods_key").alias("thing")).agg(F.sum("n").alias("n"))
+    cores = cut(things.groupBy("scope", "w").agg(F.sum("n").alias("n")))
     links = evidence(cut(segment_join(cores, cores, guard=True)), things)
     up = roots(links, cores).select(F.col("w").alias("core"), F.col("root").alias("brand_id"))
-    parts = cut(parts.join(up, "core").withColumn("goods_key", F.array_join("goods", " ")))
+    spelt = named.join(up, "core").groupBy("brand_id", "goods_key", "squashed").agg(F.sum("n").alias("n"))
     # goods names with words still unknown, whole and inside one brand
-    names = parts.groupBy("brand_id", "goods_key").agg(F.count("*").alias("n"), F.mode("squashed", True).alias("squashed"))
-    names = cut(names)
+    names = cut(_commonest(spelt, "goods_key", "squashed"))
     unknown = names.where(F.col("goods_key").contains("?"))
-    probe = unknown.select(F.col("brand_id").alias("scope"), F.col("squashed").alias("w"))
+    probe = unknown.select(F.col("brand_id").alias("scope"), F.col("squashed").alias("w")).distinct()
     target = names.where(~F.col("goods_key").contains("?")).select(F.col("brand_id").alias("scope"), F.col("squashed").alias("w"), "goods_key", "n")
-    near = segment_join(probe.distinct(), target.select("scope", "w").distinct())
-    same = probe.distinct().join(target.select("scope", "w").distinct(), ["scope", "w"]).select("scope", "w", F.col("w").alias("c"), F.lit(0).alias("d"))
+    near = segment_join(probe, target.select("scope", "w").distinct())
+    same = probe.join(target.select("scope", "w").distinct(), ["scope", "w"]).select("scope", "w", F.col("w").alias("c"), F.lit(0).alias("d"))
     near = near.unionByName(same).join(target.select("scope", F.col("w").alias("c"), F.col("goods_key").alias("to"), "n"), ["scope", "c"])
     near = near.groupBy("scope", "w").agg(F.min(F.struct("d", (-F.col("n")).alias("m"), "to")).alias("b"))
-    moved = unknown.join(near.select(F.col("scope").alias("brand_id"), F.col("w").alias("squashed"), "b"), ["brand_id", "squashed"]).select("brand_id", "goods_key", F.col("b.to").alias("to"))
-    parts = cut(parts.join(moved, ["brand_id", "goods_key"], "left").select("key_id", "brand_id", "goods", "squashed", F.coalesce("to", "goods_key").alias("goods_id")))
-    rare = _rare_names(parts.where(F.col("goods_id").contains("?")))
-    return parts.join(rare, "key_id", "left").select("key_id", "brand_id", F.coalesce("to", "goods_id").alias("goods_id"))
+    moved = cut(unknown.join(near.select(F.col("scope").alias("brand_id"), F.col("w").alias("squashed"), "b"), ["brand_id", "squashed"]).select("brand_id", "goods_key", F.col("b.to").alias("to")))
+    rest = cut(spelt.where(F.col("goods_key").contains("?")).join(moved.select("brand_id", "goods_key"), ["brand_id", "goods_key"], "left_anti"))
+    to = moved.unionByName(_rare_names(rest))
+    ids = named.select("core", "goods_key").distinct().join(up, "core").join(to, ["brand_id", "goods_key"], "left").select("core", "goods_key", "brand_id", F.coalesce("to", "goods_key").alias("goods_id"))
+    return parts.select("key_id", "core", "goods_key").join(ids, ["core", "goods_key"]).select("key_id", "brand_id", "goods_id")
+
+
+def _commonest(spelt: DataFrame, key: str, as_: str) -> DataFrame:
+    """(brand_id, key, n, as_): the rows of each name, and its commonest spelling (ties by spelling)."""
+    best = F.min(F.struct((-F.col("n")).alias("m"), "squashed"))["squashed"]
+    one = spelt.groupBy("brand_id", key, "squashed").agg(F.sum("n").alias("n"))
+    return one.groupBy("brand_id", key).agg(F.sum("n").alias("n"), best.alias(as_))
 
 
 def shortened(rows: DataFrame, words: DataFrame) -> DataFrame:
@@ -537,23 +608,25 @@ def shortened(rows: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _rare_names(rest: DataFrame) -> DataFrame:
-    """(key_id, to) of rows whose goods hold words the vocabulary lacks: these words, and then the whole names, against those of the same brand."""
-    odd = rest.select(F.col("brand_id").alias("scope"), F.explode("goods").alias("g")).where(F.col("g").startswith("?")).groupBy("scope", F.expr("substring(g, 2)").alias("w")).agg(F.count("*").alias("n"))
-    odd = cut(odd)
+    """(brand_id, goods_key, to) of names that hold words the vocabulary lacks: these words, and then the whole names, against those of the same brand.
+
+    rest: (brand_id, goods_key, squashed, n).
+    """
+    odd = cut(rest.select(F.col("brand_id").alias("scope"), F.explode(F.split("goods_key", " ")).alias("g"), "n").where(F.col("g").startswith("?")).groupBy("scope", F.expr("substring(g, 2)").alias("w")).agg(F.sum("n").alias("n")))
     up = roots(segment_join(odd, odd, guard=True).withColumn("shared", F.lit(0.0)), odd).where("w <> root")
     up = up.select(F.col("scope").alias("brand_id"), F.concat(F.lit("?"), "w").alias("g"), F.concat(F.lit("?"), "root").alias("root"))
-    better = rest.select("key_id", "brand_id", F.explode("goods").alias("g")).join(up, ["brand_id", "g"]).groupBy("key_id").agg(F.map_from_entries(F.collect_list(F.struct("g", "root"))).alias("m"))
-    words = F.when(F.col("m").isNull(), F.col("goods")).otherwise(F.transform("goods", lambda g: F.coalesce(F.col("m")[g], g)))
-    rest = cut(rest.join(better, "key_id", "left").select("key_id", "brand_id", "squashed", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("goods_key")))
-    names = cut(rest.groupBy("brand_id", "goods_key").agg(F.count("*").alias("n"), F.mode("squashed", True).alias("w")))
-    whole = cut(names.groupBy(F.col("brand_id").alias("scope"), "w").agg(F.sum("n").alias("n"), F.max(F.struct("n", "goods_key"))["goods_key"].alias("key")))
+    better = rest.select("brand_id", "goods_key").distinct().withColumn("g", F.explode(F.split("goods_key", " "))).join(up, ["brand_id", "g"]).groupBy("brand_id", "goods_key").agg(F.map_from_entries(F.collect_list(F.struct("g", "root"))).alias("m"))
+    words = F.transform(F.split("goods_key", " "), lambda g: F.when(F.col("m").isNull(), g).otherwise(F.coalesce(F.col("m")[g], g)))
+    rest = cut(rest.join(better, ["brand_id", "goods_key"], "left").select("brand_id", "goods_key", "squashed", "n", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("name")))
+    names = cut(_commonest(rest, "name", "w"))
+    whole = cut(names.groupBy(F.col("brand_id").alias("scope"), "w").agg(F.sum("n").alias("n"), F.max(F.struct("n", "name"))["name"].alias("key")))
     key = lambda c: whole.select("scope", F.col("w").alias(c), F.filter(F.split("key", " "), lambda g: ~g.startswith("?")).alias(f"known_{c}"))
     # names with known words of their own on both sides are different goods, however near
     links = segment_join(whole, whole, guard=True).join(key("w"), ["scope", "w"]).join(key("c"), ["scope", "c"])
     links = links.where((F.size(F.array_except("known_w", "known_c")) == 0) | (F.size(F.array_except("known_c", "known_w")) == 0))
     root = roots(links.select("scope", "w", "c", "d", F.lit(0.0).alias("shared")), whole)
     to = root.join(whole.select("scope", F.col("w").alias("root"), F.col("key").alias("to")), ["scope", "root"]).select(F.col("scope").alias("brand_id"), "w", "to")
-    return rest.join(names.join(to, ["brand_id", "w"]).select("brand_id", "goods_key", "to"), ["brand_id", "goods_key"]).select("key_id", "to")
+    return rest.select("brand_id", "goods_key", "name").distinct().join(names.join(to, ["brand_id", "w"]).select("brand_id", "name", "to"), ["brand_id", "name"]).select("brand_id", "goods_key", "to")
 
 
 def same_pairs(ids: DataFrame, key: str, by: list[str]) -> DataFrame:
